@@ -128,3 +128,19 @@ def annotate(df: DataFrame, needs: list[str], adds: T.StructType, make: Callable
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(width)] + new, names=[*kept_names, *names])
 
     return sent.mapInArrow(run, schema)
+
+
+def probable_members(rows: DataFrame, ids: DataFrame, by: list[str], bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be in ids, rows that surely aren't), by a bitmap of fixed size over the hash of the columns `by`.
+
+    The bitmap has 2**bits bits as one long a row, 2**(bits-6) rows at most, whatever the number of ids: it may be
+    broadcast. With more ids it lets more rows through, and the exact join that follows still decides. `rows` is read twice.
+    """
+    place = F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.lit(1 << bits))
+    bit = F.expr("shiftleft(1L, cast(__place__ & 63 as int))")
+    words = ids.select(place.alias("__place__")).groupBy(F.shiftright("__place__", 6).alias("__word__")).agg(F.bit_or(bit).alias("__bits__"))
+    words = cut(words)
+    tested = rows.withColumn("__place__", place).withColumn("__word__", F.shiftright("__place__", 6)).join(F.broadcast(words), "__word__", "left")
+    hit = F.coalesce(F.col("__bits__").bitwiseAND(bit) != 0, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return tested.where(hit).select(*columns), tested.where(~hit).select(*columns)

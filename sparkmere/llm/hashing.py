@@ -142,9 +142,7 @@ def inside(before: np.ndarray, k: int) -> np.ndarray:
 
 def coverage(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Booleans: which of n places lie in some [start, end)."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, ends, -1)
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(step[:n]) > 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, secrets, sharding
+from . import decontaminate, langid, packing, secrets, sharding, substring_words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +56,19 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_words.deduplicated(table(spark, sf_dir, "documents"), with_text=False)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), "kept_sha256")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_best_fit": op7_best_fit,
     "op9_winnowing": op9_winnowing,
+    "op10_difference_cover": op10_difference_cover,
 }
 
 
