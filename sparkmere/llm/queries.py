@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lsh_forest, packing, secrets, sharding, substring_bytes, substring_words
+from . import decontaminate, kdtree, langid, lsh_forest, packing, secrets, sharding, substring_bytes, substring_words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
+def op4_kd_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return kdtree.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_bytes.deduplicated(table(spark, sf_dir, "documents"), with_bytes=False)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
@@ -76,6 +81,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lsh_forest": op2_lsh_forest,
     "op3_secret_scan": op3_secret_scan,
+    "op4_kd_trees": op4_kd_trees,
     "op5_suffix_array": op5_suffix_array,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_best_fit": op7_best_fit,
@@ -110,4 +116,13 @@ FROM rows_ r JOIN walk w ON w.n = r.n AND w.step = 1 AND w.v < (SELECT total FRO
 """
 
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_kd_trees": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+}
