@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kdtree, langid, lsh_forest, packing, secrets, sharding, substring_bytes, substring_words
+from . import chat, decontaminate, kdtree, langid, lsh_forest, packing, secrets, sharding, substring_bytes, substring_words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql("SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    return chat.read_back(*chat.prefix_trees(rows.unionByName(more)))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
@@ -85,6 +91,7 @@ QUERIES = {
     "op5_suffix_array": op5_suffix_array,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_best_fit": op7_best_fit,
+    "op8_prefix_trees": op8_prefix_trees,
     "op9_winnowing": op9_winnowing,
     "op10_difference_cover": op10_difference_cover,
 }

@@ -14,7 +14,7 @@ gives no rows; other input columns are not carried, so their names cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, parts_for
@@ -79,8 +79,11 @@ def permuted(x: Column, n: int, seed: int) -> Column:
     return F.when(first < n, first).otherwise(walked)
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with a dense number from 0 in the order of the given columns, without a window over one partition."""
+def numbered(rows: DataFrame, order: list[str], name: str, weight: str | None = None, before: str | None = None) -> DataFrame:
+    """rows with a dense number from 0 in the order of the given columns, without a window over one partition.
+
+    With a weight, also the sum of the weights of all rows before each one.
+    """
     spark = rows.sparkSession
     parts = parts_for(rows)
     placed = (
@@ -90,14 +93,19 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
         .withColumn("__at__", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
     placed = cut(placed)
-    counts = {r[0]: r[1] for r in placed.groupBy("__part__").count().collect()}  # one row a partition
-    base, total = {}, 0
-    for p in sorted(counts):
-        base[p] = total
-        total += counts[p]
-    offsets = spark.createDataFrame([(p, n) for p, n in base.items()], "__part__ int, __base__ long")
+    heavy = F.sum(weight) if weight else F.lit(0).cast("long")
+    counts = sorted(tuple(r) for r in placed.groupBy("__part__").agg(F.count("*"), heavy).collect())  # one row a partition
+    base, total, sum_before = [], 0, 0
+    for p, n, w in counts:
+        base.append((p, total, sum_before))
+        total += n
+        sum_before += w or 0
+    offsets = spark.createDataFrame(base, "__part__ int, __base__ long, __sum__ long")
     out = placed.join(F.broadcast(offsets), "__part__").withColumn(name, F.col("__base__") + F.col("__at__"))
-    return out.drop("__part__", "__at__", "__base__")
+    if weight and before:
+        here = Window.partitionBy("__part__").orderBy("__at__").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(before, F.col("__sum__") + F.coalesce(F.sum(weight).over(here), F.lit(0)))
+    return out.drop("__part__", "__at__", "__base__", "__sum__")
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
