@@ -1,13 +1,30 @@
-"""A pipeline over documents made of the operators: STAGES lists its steps."""
+"""A pipeline over documents made of the operators: STAGES lists its steps, run() applies them to the table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmere.llm import decontaminate, secrets
-from sparkmere.llm.common import written
-from sparkmere.llm.queries import table
+from sparkmere.llm import decontaminate, langid, lsh_forest, packing, secrets
+from sparkmere.llm.common import probable_members, written
+from sparkmere.llm.queries import table, tokenizer_path
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier tells; those without a letter go."""
+    found = langid.predict(docs, langid.train(docs))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 5-gram Jaccard similarity of 0.8 or more the one with the smallest id; of
+    repeated ids one row. Documents without id stay. Only the texts that may go are shuffled."""
+    classes = lsh_forest.near_duplicates(docs)
+    gone = written(classes.where("doc_id != class_id").select("doc_id").distinct())
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    may, clear = probable_members(docs, gone.unionByName(repeated), ["doc_id"])
+    stay = may.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return clear.unionByName(may.where("doc_id is null")).unionByName(stay)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +38,20 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.redact(docs, chars="n_chars" if "n_chars" in docs.columns else None)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their places in sequences of 2048 tokens."""
+    found = packing.pieces(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 STAGES = [
+    ("language ID", keep_known_language),
+    ("n-gram Jaccard join", keep_one_of_each_group),
     ("benchmark decontamination", drop_benchmark),
     ("secret scans", mask_secrets),
+    ("best-fit packing", pack_sequences),
 ]
+#: The tokenizer's ids and the trained classifier are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
