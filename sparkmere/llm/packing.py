@@ -1,8 +1,8 @@
 """Best-fit packing of tokenized documents into sequences of bounded length.
 
 Tokens: a text is cut at spaces and line feeds; no token of these vocabularies spans white space, so the ids of the
-chunks, one after another, are the ids of the text. Chunks repeat, so a worker keeps those it has seen with their ids,
-up to a stated number, and asks the tokenizer for the rest.
+chunks, one after another, are the ids of the text. Chunks repeat, so a worker keeps those it has seen with their ids
+(by 64-bit hash, up to a stated number) and asks the tokenizer for the rest.
 
 Packing is bulk-synchronous best fit. Pieces are range-sorted by falling length and numbered. A superstep takes the
 pieces of one length: gaps are sorted, each piece goes to the successor of its length among them (the smallest gap that
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -29,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, groups, strings
+from .hashing import span_hashes, word_bounds
 from .sharding import numbered
 
 END = 0
+_CHUNK = np.ones(256, bool)  # bytes of a chunk: all but space and line feed
+_CHUNK[[0x20, 0x0A]] = False
 
 
 @functools.cache
@@ -48,9 +52,9 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Token ids of whole texts. `most`: chunks it remembers at a time."""
+    """Token ids of whole texts. `most`: different chunks and words that it remembers at a time."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,83 +64,69 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.new: list[str] = []
+        self.chunks: dict[int, int] = {}  # hash of a chunk: its number
+        self.words: dict[str, list[int]] = {}
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.used = self.count = 0
+
+    def word(self, word: str) -> list[int]:
+        """Of letters below U+0100 in lower case, or one mark: lower case and normal form need no context here."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = [t.id for t in self.model.tokenize(word if word.isascii() else "".join([self.letters[b] for b in word.encode()]))]
+        return ids
 
     def encode(self, chunk: str) -> list[int]:
-        if chunk.isalpha() and max(chunk) < "Ā":  # one word; lower case and normal form need no context here
-            low = chunk.lower()
-            if not low.isascii():
-                low = "".join([self.letters[b] for b in low.encode()])
-            return [t.id for t in self.model.tokenize(low)]
-        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
-            return self.of(chunk[:-1]) + self.of(chunk[-1])
+        if max(chunk) < "\u0100":
+            if chunk.isalpha():
+                return self.word(chunk.lower())
+            if chunk[-1] in ".," and chunk[:-1].isalpha():
+                return self.word(chunk[:-1].lower()) + self.word(chunk[-1])
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
-    def of(self, chunk: str) -> list[int]:
-        i = self.known.get(chunk)
-        if i is None:
-            i = self.learn(chunk)
-        return self.ids[self.starts[i] : self.starts[i] + self.sizes[i]].tolist()
-
-    def learn(self, chunk: str) -> int:
-        if chunk.isalpha() and not chunk.islower() and max(chunk) < "Ā" and chunk.lower() != chunk:
-            ids = self.of(chunk.lower())
-        else:
-            ids = self.encode(chunk) if chunk else []
-        i = len(self.known)
-        if i >= len(self.starts):
+    def learn(self, keys: list[int], chunks: list[str]) -> None:
+        lists = [self.encode(c) for c in chunks]
+        self.chunks.update(zip(keys, range(self.count, self.count + len(keys)), strict=True))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        while self.count + len(sizes) > len(self.sizes):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.starts[i], self.sizes[i] = self.used, len(ids)
+        self.sizes[self.count : self.count + len(sizes)] = sizes
+        self.starts[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(ids)] = ids
+        self.count += len(sizes)
         self.used += len(ids)
-        self.known[chunk] = i
-        return i
-
-    def text(self, text: str) -> np.ndarray:
-        parts = [self.segment(s) for s in segments(text)]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
-    def segment(self, text: str) -> np.ndarray:
-        if len(self.known) > self.most:
+    def rows(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids before each row) of concatenated UTF-8 texts. Each different chunk is looked up once, by its hash."""
+        if len(self.chunks) + len(self.words) > self.most:
             self.forget()
-        known, learn = self.known, self.learn
-        chunks = text.replace("\n", " ").split(" ")
-        at = list(map(known.get, chunks))
-        if None in at:
-            at = [learn(c) if (i := known.get(c)) is None else i for c in chunks]
-        which = np.array(at, np.int64)
+        starts, ends, before = word_bounds(data, offs, _CHUNK)
+        key, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys = key.tolist()
+        at = list(map(self.chunks.get, keys))
+        if new := [i for i, n in enumerate(at) if n is None]:
+            base = self.count
+            raw, s, e = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
+            self.learn([keys[i] for i in new], [raw[x:y].decode() for x, y in zip(s, e, strict=True)])
+            for n, i in enumerate(new):
+                at[i] = base + n
+        which = np.array(at, np.int64)[inverse]
         size = self.sizes[which]
-        before = np.cumsum(size) - size
-        return self.ids[np.repeat(self.starts[which] - before, size) + np.arange(int(size.sum()))]
-
-
-def segments(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """The text in parts of about `size` code points, cut at spaces or line feeds only."""
-    at, n = 0, len(text)
-    while n - at > size:
-        to = max(text.rfind(" ", at, at + size), text.rfind("\n", at, at + size))
-        if to <= at:
-            ahead = [x for x in (text.find(" ", at + size), text.find("\n", at + size)) if x >= 0]
-            if not ahead:
-                break
-            to = min(ahead)
-        yield text[at:to]
-        at = to
-    yield text[at:]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.starts[which] - total[:-1], size) + np.arange(int(total[-1]))]
+        return ids, total[before]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, most: int = 700_000) -> Encoder:
+def encoder(path: str, most: int = 1_000_000) -> Encoder:
     """One for each vocabulary in a worker, kept between tasks."""
     if (path, most) not in _ENCODERS:
         _ENCODERS[path, most] = Encoder(path, most)
@@ -155,18 +145,20 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, key: str = "d
         encode = encoder(vocabulary)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for r, value in enumerate(batch.column(1)):
-                t = value.as_py()
-                tokens = np.append(encode.text(t) if t else np.zeros(0, np.uint32), np.uint32(END)).astype("<u4")
-                for p, at in enumerate(range(0, len(tokens), capacity)):
-                    part = tokens[at : at + capacity]
-                    row.append(r)
-                    piece.append(p)
-                    start.append(at)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    if with_ids:
-                        ids.append(part.astype(np.int32))
+            data, offs = strings(batch.column(1))
+            for i, j in groups(offs, 8 << 20):
+                tokens, before = encode.rows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                for r in range(j - i):
+                    mine = np.append(tokens[before[r] : before[r + 1]], np.uint32(END)).astype("<u4")
+                    for p, at in enumerate(range(0, len(mine), capacity)):
+                        part = mine[at : at + capacity]
+                        row.append(i + r)
+                        piece.append(p)
+                        start.append(at)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                        if with_ids:
+                            ids.append(part.astype(np.int32))
             arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names)
 
