@@ -40,7 +40,7 @@ from .substring_words import ENTRIES, FLAGS, MARK, MET, SCAN, batch_id, scan_row
 LENGTH, GRAM = 100, 32
 GRAMS = LENGTH - GRAM + 1
 BATCH_BYTES = 8 << 20
-COLLECTION_BYTES = 512 << 10
+COLLECTION_BYTES = 96 << 10
 #: Contents of one minimizer that are compared as one group.
 GROUP = 4000
 TABLE, CANDIDATES = 1, 3
