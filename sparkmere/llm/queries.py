@@ -1,4 +1,4 @@
-"""Queries of the operators over the whole tables, and SQL for those that SQL can express."""
+"""Queries of the operators over the whole tables. ORACLES has SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, kdtree, langid, lsh_forest, packing, secrets, sharding, substring_bytes, substring_words
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "table", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,41 +98,3 @@ QUERIES = {
     "op9_winnowing": op9_winnowing,
     "op10_difference_cover": op10_difference_cover,
 }
-
-
-def _feistel_sql() -> str:
-    """The permutation in SQL: a walk as a recursive query, one pass of the block a step."""
-    keys, (m1, m2), mask = sharding.round_keys(20), sharding.MULTIPLIERS, sharding.MASK
-    left, right, lines = "(v >> b)", "(v & low)", []
-    prev = "s"
-    for i, key in enumerate(keys):
-        lines.append(f"""r{i}a AS (SELECT n, b, low, {left} AS l, {right} AS r, (xor({right}, {key}) * {m1}) & {mask} AS t FROM {prev}),
-  r{i}b AS (SELECT n, b, low, r AS l, l AS o, (xor(t, t >> 15) * {m2}) & {mask} AS t FROM r{i}a),
-  r{i} AS (SELECT n, b, low, l, xor(o, xor(t, t >> 13) & low) AS r FROM r{i}b)""")
-        left, right, prev = "l", "r", f"r{i}"
-    rounds = ",\n  ".join(lines)
-    return f"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-rows_ AS (SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, CRC AS text_crc32, row_number() OVER (ORDER BY doc_id NULLS FIRST, CRC, strlen(t)) - 1 AS n FROM (SELECT *, __crc32__ AS CRC FROM d)),
-total AS (SELECT count(*) AS total, greatest(1, CAST(ceil(ceil(log2(greatest(2, count(*)))) / 2) AS INTEGER)) AS b FROM d),
-walk AS (
-  SELECT n, n AS v, 0 AS step FROM rows_
-  UNION ALL
-  (WITH s AS (SELECT w.n, w.v, t.b, (1 << t.b) - 1 AS low FROM walk w, total t WHERE w.step = 0 OR w.v >= t.total),
-  {rounds}
-  SELECT n, (l << b) | r AS v, 1 AS step FROM {prev}))
-SELECT r.doc_id, r.size, r.text_crc32, 'rows' AS law, CAST(w.v % 8 AS INTEGER) AS shard, CAST(w.v // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM rows_ r JOIN walk w ON w.n = r.n AND w.step = 1 AND w.v < (SELECT total FROM total)
-"""
-
-
-ORACLES: dict[str, str] = {
-    "op4_kd_trees": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
-""",
-}
