@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from sparkmere.llm import decontaminate, langid, lsh_forest, packing, secrets
 from sparkmere.llm.common import probable_members, written
-from sparkmere.llm.queries import table, tokenizer_path
+from sparkmere.llm.queries import bound_batches, table, tokenizer_path
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier tells; those without a letter go."""
-    found = langid.predict(docs, langid.train(docs))
+    """Documents whose language the classifier tells; those without a letter go. Without any label to learn from, the
+    letters alone decide."""
+    bound_batches(spark)
+    model = langid.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict(docs, model)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 

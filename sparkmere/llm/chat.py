@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for, written
+from .common import cut, parts_for, tidy, written
 from .sharding import numbered
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
@@ -99,7 +99,7 @@ def prefix_trees(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     rows = conversations.select(F.col(conv).cast("long").alias("conv"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text")).where("conv is not null")
     parts = parts_for(conversations)
     order = ["conv", "turn", "role", "text"]
-    turns = written(rows.repartition(parts, "conv").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]).select("conv", "role", "text").mapInArrow(turns_in_order, TURNS))
+    turns = written(rows.repartition(parts, "conv").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]).select("conv", "role", "text").mapInArrow(tidy(turns_in_order), TURNS))
 
     owners = turns.groupBy("node").agg(F.min("conv").alias("owner"))
     owned = turns.select("conv", "idx", "node", "pos", "chars").join(owners, "node")
@@ -198,4 +198,4 @@ def read_back(nodes: DataFrame, leaves: DataFrame, per_salt: int = 500) -> DataF
     asked = refs.join(busy, "branch", "left").withColumn("salt", F.pmod(F.xxhash64("conv"), salts).cast("int")).drop("salts")
     found = asked.join(spread, ["branch", "idx", "salt"]).select("conv", "idx", "piece", "loss_from", "loss_to")
     parts = parts_for(leaves)
-    return found.repartition(parts, "conv").sortWithinPartitions("conv", "idx").select("conv", "piece", "loss_from", "loss_to").mapInArrow(digests, READ)
+    return found.repartition(parts, "conv").sortWithinPartitions("conv", "idx").select("conv", "piece", "loss_from", "loss_to").mapInArrow(tidy(digests), READ)

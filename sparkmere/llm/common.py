@@ -10,6 +10,8 @@ Conventions used by every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +26,57 @@ from pyspark.sql import types as T
 GROUP_BYTES = 2 << 20
 
 
+#: What a Python worker keeps between tasks, by name; see tidy().
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """A thing that is dear to make and stays in the worker for the next task of the same kind."""
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are used again, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run as a task that leaves little memory behind: at its start what tasks of other kinds kept goes, at its end what it freed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [n for n in _HELD if n != holds]:
+            del _HELD[name]
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def group(table: pa.Table) -> pa.Table:
+        _HELD.clear()
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return group
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it; one of our own only where it names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -128,7 +181,7 @@ def annotate(df: DataFrame, needs: list[str], adds: T.StructType, make: Callable
                 new = [a.cast(k) if a.type != k else a for a, k in zip(new, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(width)] + new, names=[*kept_names, *names])
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(tidy(run), schema)
 
 
 def probable_members(rows: DataFrame, ids: DataFrame, by: list[str], bits: int = 22) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, written
+from .common import parts_for, tidy, tidy_group, written
 
 LEAF = 256
 BLOCK = 2048
@@ -247,9 +247,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
     """query_id, rank from 1, vec_id, score: for each row of queries its k best rows of vectors, but those with its id."""
     points, wanted = usable(vectors, key, vector), usable(queries, key, vector)
     shards = parts_for(vectors, SHARD_BYTES)
-    index = written(points.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, "shard int, tree binary"))
+    index = written(points.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(tidy_group(build), "shard int, tree binary"))
     blocks = wanted.count() // BLOCK + 1
-    asked = wanted.withColumn("block", F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(block, "block int, queries binary")
+    asked = wanted.withColumn("block", F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(tidy_group(block), "block int, queries binary")
     # a shard without rows has no tree, so a block begins with one that exists: they are numbered anew
     there = [r[0] for r in index.select("shard").orderBy("shard").collect()]  # one number a shard
     if not there:
@@ -262,6 +262,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
     everywhere = first.select("block", "queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where(F.col("shard") != home)
     elsewhere = pairs.where(F.col("shard") != home)
     more = elsewhere.groupBy("shard", "block").cogroup(everywhere.groupBy("shard", "block")).applyInArrow(searcher(k, False), FOUND)
-    found = first.select("found").mapInArrow(opened, FOUND).unionByName(more)
+    found = first.select("found").mapInArrow(tidy(opened), FOUND).unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("vec")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), "score")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, tidy
 
 ORDERS = (1, 2, 3, 4)
 PLACES = 1 << 16
@@ -147,7 +147,7 @@ def train(docs: DataFrame, per_lang: int = 300, landmarks_per_lang: int = 32, ke
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(bits, pa.binary())], names=["label", "h", "bits"])
 
-    found = picked.select(F.col(label).cast("string").alias("label"), h.alias("h"), F.col(text).alias("text")).mapInArrow(run, schema).collect()
+    found = picked.select(F.col(label).cast("string").alias("label"), h.alias("h"), F.col(text).alias("text")).mapInArrow(tidy(run), schema).collect()
     taken: dict[str, int] = {}
     sample = []
     for lang, _, bits in sorted((r[0], r[1], bytes(r[2])) for r in found):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups, parts_for, probable_members, strings, written
+from .common import cut, groups, parts_for, probable_members, strings, tidy, tidy_group, written
 from .components import components
 from .hashing import U64, byte_class, gram_hashes, lower_ascii, mix, span_hashes, word_bounds
 
@@ -282,20 +282,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     rows = docs.select(F.col(key).cast("long").alias("doc"), body.alias("body")).where("doc is not null")
     buckets = parts_for(docs)
     share = threshold[0] / threshold[1]
-    signed = written(rows.mapInArrow(scan, SIGNED))
+    signed = written(rows.mapInArrow(tidy(scan), SIGNED))
     reps = written(signed.groupBy("set_id").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
-    met = cut(reps.select("rep", "sig").mapInArrow(nodes(prefix_depth(share, recall)), "node long, rep long"))
+    met = cut(reps.select("rep", "sig").mapInArrow(tidy(nodes(prefix_depth(share, recall))), "node long, rep long"))
     shared = met.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
     in_nodes = dealt(met.join(shared, "node"), "node", "members", "rep", buckets)
     wanted = reps.select("rep", "sig")
-    edges = in_nodes.join(wanted, "rep").groupBy("bucket").applyInArrow(candidates(share), EDGES).distinct()
+    edges = in_nodes.join(wanted, "rep").groupBy("bucket").applyInArrow(tidy_group(candidates(share)), EDGES).distinct()
     found = cut(components(edges).select(F.col("node").alias("rep"), "component"))
     sizes = found.groupBy("component").agg(F.count("*").alias("members"))
     may, _ = probable_members(rows.withColumnRenamed("doc", "rep"), found, ["rep"])
     texts = may.join(found, "rep").join(reps.select("rep", "copies"), "rep").dropDuplicates(["rep"])
-    sets = texts.select("rep", "body", "copies", "component").mapInArrow(send_sets, "rep long, copies long, component long, grams binary")
+    sets = texts.select("rep", "body", "copies", "component").mapInArrow(tidy(send_sets), "rep long, copies long, component long, grams binary")
     parts_ = dealt(sets.join(sizes, "component"), "component", "members", "rep", buckets)
-    linked = cut(parts_.groupBy("bucket").applyInArrow(verify(threshold), LINKED))
+    linked = cut(parts_.groupBy("bucket").applyInArrow(tidy_group(verify(threshold)), LINKED))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(linked.select(F.col("rep").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("rep"), "component")
     per_class = reps.select("set_id", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")

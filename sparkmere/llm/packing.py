@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, groups, strings
+from .common import cut, groups, held, strings, tidy
 from .hashing import span_hashes, word_bounds
 from .sharding import numbered
 
@@ -52,25 +52,42 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Token ids of whole texts. `most`: different chunks and words that it remembers at a time."""
+    """Token ids of whole texts. `most`: different chunks that it remembers at a time; of these those that came up in more
+    than one batch stay when there are too many, as most chunks come up once."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.most = most
-        self.forget()
-
-    def forget(self) -> None:
         self.chunks: dict[int, int] = {}  # hash of a chunk: its number
         self.words: dict[str, list[int]] = {}
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
+        self.batches = np.zeros(1 << 16, np.uint16)  # that a chunk came up in, halved at times
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = self.count = 0
 
+    def forget(self) -> None:
+        """Leaves at most half as many chunks: the most frequent of those that came up again."""
+        seen = self.batches[: self.count]
+        least = max(2, int(np.partition(seen, self.count - self.most // 2)[self.count - self.most // 2]) if self.count > self.most // 2 else 2)
+        keep = np.flatnonzero(seen >= least)
+        if len(keep) > self.most // 2:
+            keep = np.flatnonzero(seen > least)
+        keys = np.fromiter(self.chunks, np.uint64, self.count)[keep]  # in the order of their numbers
+        sizes, starts = self.sizes[keep], self.starts[keep]
+        total = np.cumsum(sizes)
+        used = int(total[-1]) if len(keep) else 0
+        self.ids[:used] = self.ids[np.repeat(starts - (total - sizes), sizes) + np.arange(used)]
+        self.batches[: len(keep)] = seen[keep] >> 1
+        self.batches[len(keep) : self.count] = 0
+        self.sizes[: len(keep)], self.starts[: len(keep)] = sizes, total - sizes
+        self.used, self.count = used, len(keep)
+        self.chunks = dict(zip(keys.tolist(), range(len(keep)), strict=True))
+
     def word(self, word: str) -> list[int]:
         """Of letters below U+0100 in lower case, or one mark: lower case and normal form need no context here."""
         ids = self.words.get(word)
@@ -94,6 +111,7 @@ class Encoder:
         while self.count + len(sizes) > len(self.sizes):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.batches = np.concatenate([self.batches, np.zeros_like(self.batches)])
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.sizes[self.count : self.count + len(sizes)] = sizes
@@ -104,8 +122,10 @@ class Encoder:
 
     def rows(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids before each row) of concatenated UTF-8 texts. Each different chunk is looked up once, by its hash."""
-        if len(self.chunks) + len(self.words) > self.most:
+        if self.count > self.most:
             self.forget()
+        if len(self.words) > self.most // 3:
+            self.words.clear()
         starts, ends, before = word_bounds(data, offs, _CHUNK)
         key, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         keys = key.tolist()
@@ -116,21 +136,18 @@ class Encoder:
             self.learn([keys[i] for i in new], [raw[x:y].decode() for x, y in zip(s, e, strict=True)])
             for n, i in enumerate(new):
                 at[i] = base + n
-        which = np.array(at, np.int64)[inverse]
+        which = np.array(at, np.int64)
+        self.batches[which] = np.minimum(self.batches[which], 60_000) + 1
+        which = which[inverse]
         size = self.sizes[which]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(self.starts[which] - total[:-1], size) + np.arange(int(total[-1]))]
         return ids, total[before]
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
-def encoder(path: str, most: int = 1_000_000) -> Encoder:
+def encoder(path: str, most: int = 300_000) -> Encoder:
     """One for each vocabulary in a worker, kept between tasks."""
-    if (path, most) not in _ENCODERS:
-        _ENCODERS[path, most] = Encoder(path, most)
-    return _ENCODERS[path, most]
+    return held(f"encoder {path}", lambda: Encoder(path, most))
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -146,7 +163,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, key: str = "d
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             data, offs = strings(batch.column(1))
-            for i, j in groups(offs, 8 << 20):
+            for i, j in groups(offs):
                 tokens, before = encode.rows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 for r in range(j - i):
                     mine = np.append(tokens[before[r] : before[r + 1]], np.uint32(END)).astype("<u4")
@@ -162,7 +179,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, key: str = "d
             arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names)
 
-    return docs.select(F.col(key), F.col(text).cast("string").alias("__text__")).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(key), F.col(text).cast("string").alias("__text__")).mapInArrow(tidy(run, f"encoder {vocabulary}"), T.StructType(fields))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
@@ -221,14 +238,14 @@ def pack(found: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFra
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = best_fit(counts, capacity)
     table = np.array(runs, np.int64).reshape(-1, 4)
-    held = found.sparkSession.sparkContext.broadcast(table)  # a few runs a length, whatever the number of rows
+    plan = found.sparkSession.sparkContext.broadcast(table)  # a few runs a length, whatever the number of rows
     ranked = numbered(rows.withColumn("__fall__", -F.col("length")), order, "__rank__").drop("__fall__")
     names = [c for c in ranked.columns if c != "__rank__"]
     at = ranked.columns.index("__rank__")
     keep = [i for i in range(len(ranked.columns)) if i != at]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = held.value
+        t = plan.value
         for b in batches:
             rank = b.column(at).to_numpy()
             run = t[np.searchsorted(t[:, 0], rank, "right") - 1] if len(rank) else t[:0]
@@ -236,4 +253,4 @@ def pack(found: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + new, names=[*names, "sequence_id", "offset"])
 
     fields = [ranked.schema[c] for c in names]
-    return ranked.mapInArrow(place, T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return ranked.mapInArrow(tidy(place), T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))

@@ -11,10 +11,23 @@ from .oracles import ORACLES
 __all__ = ["ORACLES", "QUERIES", "table", "tokenizer_path"]
 
 
+#: Rows that travel to a Python worker at a time. Spark's default of 10,000 is meant for short rows; of texts it would be
+#: tens of megabytes in each of several buffers of every task.
+ROWS_PER_BATCH = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's batch size for texts, unless the application has set one below it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary lies; every executor has the package at the same place."""
     import public_tokenizers

@@ -23,6 +23,7 @@ rows; other input columns are not carried, so their names cannot clash.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import sorted_suffixes
-from .common import groups, parts_for, probable_members, strings, written
+from .common import groups, parts_for, probable_members, strings, tidy, tidy_group, written
 from .exchange import bucket_of, packed, unpacked
 from .hashing import U64, _powers, coverage, mix, runs, sliding_min, span_hashes
 from .substring_words import ENTRIES, FLAGS, MARK, MET, SCAN, batch_id, scan_rows, sources, spans_of, split
@@ -47,21 +48,21 @@ TABLE, CANDIDATES = 1, 3
 _LOW = U64((1 << 24) - 1)  # places within a batch; BATCH_BYTES and one more segment fit
 
 
-def segments(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def segments(batch: pa.RecordBatch, batch_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, ids, marks, place of the segment in its document, bytes, offsets). Long documents are cut into segments that overlap by 99 bytes."""
     data, offs = strings(batch.column(2))
     ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    for i, j in groups(offs, BATCH_BYTES):
-        if offs[j] - offs[i] <= BATCH_BYTES:
+    for i, j in groups(offs, batch_bytes):
+        if offs[j] - offs[i] <= batch_bytes:
             while i < j:
                 k = min(j, i + MARK)
                 yield np.arange(i, k), ids[i:k], marks[i:k], np.zeros(k - i, np.int64), data[offs[i] : offs[k]], offs[i : k + 1] - offs[i]
                 i = k
         else:  # one document
-            step = BATCH_BYTES - LENGTH + 1
+            step = batch_bytes - LENGTH + 1
             n = int(offs[j] - offs[i])
             for base in range(0, n - LENGTH + 1, step):
-                part = data[offs[i] + base : offs[i] + min(n, base + BATCH_BYTES)]
+                part = data[offs[i] + base : offs[i] + min(n, base + batch_bytes)]
                 yield np.array([i]), ids[i:j], marks[i:j], np.array([base]), part, np.array([0, len(part)])
 
 
@@ -118,10 +119,10 @@ def own_table(batch: int, ids: np.ndarray, marks: np.ndarray, base: np.ndarray,
     return out + ([(batch % 1009, batch, FLAGS, one(flags))] if len(flags[0]) else [])
 
 
-def scan_pieces(buckets: int):
+def scan_pieces(buckets: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, ids, marks, base, data, offs in segments(b):
+            for _, ids, marks, base, data, offs in segments(b, batch_bytes):
                 least, row, start, count = pieces(data, offs)
                 if not len(least):
                     continue
@@ -147,7 +148,7 @@ def scan_pieces(buckets: int):
     return run
 
 
-def meet_pieces(table: pa.Table) -> pa.Table:
+def meet_pieces(table: pa.Table, group: int = GROUP) -> pa.Table:
     batches, payloads, passed = split(table)
     low, high, content, doc, where, row, start, count = unpacked(payloads, ["u4", "u1", "u8", "i8", "i8", "u2", "u4", "u1"])
     key = low.astype(U64) | high.astype(U64) << U64(32)
@@ -163,7 +164,7 @@ def meet_pieces(table: pa.Table) -> pa.Table:
         contents = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_key))
         contents = np.repeat(contents, np.diff(np.append(np.flatnonzero(new_key), len(order))))
         gone, cand = order[later], order[first & (contents > 1)]
-        bands = np.minimum(255, -(-contents[first & (contents > 1)] // GROUP)).astype(np.uint8)
+        bands = np.minimum(255, -(-contents[first & (contents > 1)] // group)).astype(np.uint8)
         for kind, at, cols in ((FLAGS, gone, [row, start, count]), (CANDIDATES, cand, [row, start, count, low, high])):
             if len(at):
                 extra = [bands] if kind == CANDIDATES else []
@@ -299,19 +300,19 @@ def compare(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc", "mark", "gone"])
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = True, batch_bytes: int = BATCH_BYTES, group: int = GROUP) -> DataFrame:
     """The key, n_bytes, removed (maximal runs [first, end) of bytes), kept_sha256, and kept (the remaining bytes)."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body"))
     buckets = parts_for(docs)
     ids = ["doc", "mark"]
-    scan = rows.where("doc is not null").mapInArrow(scan_pieces(buckets), SCAN)
-    met = written(scan.groupBy("bucket").applyInArrow(meet_pieces, MET).groupBy("batch").applyInArrow(by_document, PIECES))
+    scan = rows.where("doc is not null").mapInArrow(tidy(scan_pieces(buckets, batch_bytes)), SCAN)
+    met = written(scan.groupBy("bucket").applyInArrow(tidy_group(functools.partial(meet_pieces, group=group)), MET).groupBy("batch").applyInArrow(tidy_group(by_document), PIECES))
     # a repeated row is met once; a document of several segments has several rows, each with its own pieces
     cand = met.where("length(cand) > 0").select(*ids, "cand").distinct()
     may, _ = probable_members(rows.where("doc is not null"), cand, ids)
-    sent = may.dropDuplicates(ids).join(cand, ids).select("doc", "mark", "body", "cand").mapInArrow(send_strings(buckets), STRINGS)
-    more = sent.groupBy("bucket").applyInArrow(compare, GONE)
+    sent = may.dropDuplicates(ids).join(cand, ids).select("doc", "mark", "body", "cand").mapInArrow(tidy(send_strings(buckets)), STRINGS)
+    more = sent.groupBy("bucket").applyInArrow(tidy_group(compare), GONE)
     gone = met.where("length(gone) > 0").select(*ids, "gone").unionByName(more).groupBy(*ids).agg(F.array_sort(F.collect_set("gone")).alias("gone"))
     gone = written(gone)
     may, clean = probable_members(rows, gone, ids)
@@ -338,4 +339,4 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.binary())] if with_bytes else []), names=names)
 
-    return merged.mapInArrow(finish, schema)
+    return merged.mapInArrow(tidy(finish), schema)

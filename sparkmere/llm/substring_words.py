@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, parts_for, probable_members, strings, written
+from .common import groups, parts_for, probable_members, strings, tidy, tidy_group, written
 from .exchange import bucket_of, packed, unpacked
 from .hashing import byte_class, coverage, gram_hashes, gram_hashes_at, runs, span_hashes, word_bounds
 
@@ -64,11 +64,11 @@ def scan_rows(out: list[tuple[int, int, int, bytes]], buckets: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([x % buckets for x in b], pa.int32()), pa.array(batch, pa.int64()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], names=_SCAN_NAMES)
 
 
-def slices(batch: pa.RecordBatch, doc: int, mark: int, text: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, slice]]:
+def slices(batch: pa.RecordBatch, doc: int, mark: int, text: int, batch_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, slice]]:
     """(ids, text marks, bytes, offsets, rows) of parts of bounded size."""
     data, offs = strings(batch.column(text))
     ids, marks = batch.column(doc).to_numpy(), batch.column(mark).to_numpy()
-    for i, j in groups(offs, BATCH_BYTES):
+    for i, j in groups(offs, batch_bytes):
         while i < j:  # rows are numbered with 16 bits
             k = min(j, i + MARK)
             yield ids[i:k], marks[i:k], data[offs[i] : offs[k]], offs[i : k + 1] - offs[i], slice(i, k)
@@ -93,10 +93,10 @@ def by_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, starts, np.diff(np.append(starts, len(k)))
 
 
-def scan_anchors(buckets: int):
+def scan_anchors(buckets: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, marks, data, offs, _ in slices(b, 0, 1, 2):
+            for ids, marks, data, offs, _ in slices(b, 0, 1, 2, batch_bytes):
                 starts, ends, before = word_bounds(data, offs, _TEXT)
                 words = span_hashes(data, starts, ends)
                 at, row, place = anchor_places(before)
@@ -194,11 +194,11 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(total)
 
 
-def scan_windows(buckets: int):
+def scan_windows(buckets: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = b.column(3)
-            for ids, marks, data, offs, at in slices(b, 0, 1, 2):
+            for ids, marks, data, offs, at in slices(b, 0, 1, 2, batch_bytes):
                 starts, ends, before = word_bounds(data, offs, _TEXT)
                 words = span_hashes(data, starts, ends)
                 places, rows = [], []
@@ -252,19 +252,19 @@ def removed_words(table: pa.Table) -> pa.Table:
 
 
 def meeting(scan: DataFrame, meet, merge) -> DataFrame:
-    return scan.groupBy("bucket").applyInArrow(meet, MET).groupBy("batch").applyInArrow(merge, FOUND).dropDuplicates(["doc", "mark"])
+    return scan.groupBy("bucket").applyInArrow(tidy_group(meet), MET).groupBy("batch").applyInArrow(tidy_group(merge), FOUND).dropDuplicates(["doc", "mark"])
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The key, n_words, removed (runs [first, end) of words), kept_sha256, and kept_text: the kept words joined by a space."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body"))
     buckets = parts_for(docs)
     ids = ["doc", "mark"]
-    cand = written(meeting(rows.where("doc is not null").mapInArrow(scan_anchors(buckets), SCAN), meet_anchors, candidate_windows))
+    cand = written(meeting(rows.where("doc is not null").mapInArrow(tidy(scan_anchors(buckets, batch_bytes)), SCAN), meet_anchors, candidate_windows))
     may, _ = probable_members(rows.where("doc is not null"), cand, ids)
     windows = may.join(cand, ids).select("doc", "mark", "body", "found")
-    gone = written(meeting(windows.mapInArrow(scan_windows(buckets), SCAN), meet_windows, removed_words))
+    gone = written(meeting(windows.mapInArrow(tidy(scan_windows(buckets, batch_bytes)), SCAN), meet_windows, removed_words))
     may, clean = probable_members(rows, gone, ids)
     merged = may.join(gone, ids, "left").select("doc", "body", "found").unionByName(clean.select("doc", "body", F.lit(None).cast("binary").alias("found")))
     schema = f"`{key}` long, n_words long, removed array<array<long>>, kept_sha256 string" + ", kept_text string" * with_text
@@ -289,4 +289,4 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.string())] if with_text else []), names=names)
 
-    return merged.mapInArrow(finish, schema)
+    return merged.mapInArrow(tidy(finish), schema)
