@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import parts_for, tidy, tidy_group, written
 
 LEAF = 256
-BLOCK = 2048
-SHARD_BYTES = 8 << 20
+#: Every block of queries meets every shard, so both are as large as a task's memory allows: what is moved falls with both.
+BLOCK = 8192
+SHARD_BYTES = 16 << 20
 #: Below this, sums of products of 64-bit floats are exact for up to 4096 dimensions.
 _EXACT = 1 << 20
 
@@ -140,7 +141,11 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, least: np.ndarray,
             a, b = tree.span[node[part[0]]]
             w = who[part]
             s = queries[w] @ tree.points[a:b].T
-            q, p = np.nonzero((s >= kth[w][:, None]) & (ids[w][:, None] != tree.ids[None, a:b]))
+            s[ids[w][:, None] == tree.ids[None, a:b]] = -np.inf
+            floor = np.maximum(kth[w], -(2.0**63))
+            if b - a > k:  # of one leaf a query needs its k best and what ties with the last of them
+                floor = np.maximum(floor, np.partition(s, b - a - k, axis=1)[:, b - a - k])
+            q, p = np.nonzero(s >= floor[:, None])
             q_new.append(w[q])
             s_new.append(s[q, p])
             v_new.append(tree.ids[a:b][p])
