@@ -10,16 +10,15 @@ _ALNUM = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
 OP2 = f"""
 WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS w FROM documents),
 g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
-n AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS grams FROM g GROUP BY doc_id),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 5 >= (x.n + y.n - c) * 4),
 e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a),
-k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY grams) AS copy_id FROM n),
 m AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
-SELECT d.doc_id, c.class_id, coalesce(k.copy_id, d.doc_id) AS copy_id, CAST(coalesce(m.n_links, 0) AS BIGINT) AS n_links
-FROM documents d JOIN c USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)
+SELECT d.doc_id, c.class_id, CAST(coalesce(m.n_links, 0) AS BIGINT) AS n_links
+FROM documents d JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 OP4 = """
