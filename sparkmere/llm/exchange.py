@@ -9,9 +9,6 @@ entry of a hash (its first by document and place), so a hash that a third of all
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-
-BUCKETED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -43,10 +40,3 @@ def unpacked(payloads: list[bytes], kinds: list[str]) -> list[np.ndarray]:
             at += size
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(parts, kinds, strict=True)]
 
-
-def firsts(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For entries sorted by `order` (a permutation that sorts by key, then rank): starts of the groups of equal keys, and each group's size."""
-    k = key[order]
-    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    return starts, np.diff(np.append(starts, len(k)))

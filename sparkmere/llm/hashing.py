@@ -119,11 +119,6 @@ def gram_hashes_at(words: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def rows_of(counts_before: np.ndarray) -> np.ndarray:
-    """The row of each entry, from the numbers of entries before each row."""
-    return np.repeat(np.arange(len(counts_before) - 1), np.diff(counts_before))
-
-
 def inside(before: np.ndarray, k: int) -> np.ndarray:
     """Of all starts of k-grams over concatenated rows, which lie within one row: booleans for len(entries) - k + 1 starts."""
     total = int(before[-1])
