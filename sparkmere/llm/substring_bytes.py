@@ -8,7 +8,7 @@ A byte goes if some 100-byte string that covers it also starts earlier (smaller
 2. Pieces meet by minimizer and content hash. Of pieces with equal content all but the earliest go whole: each of their
    strings starts earlier too. A minimizer with one content needs no more. This also keeps a passage that a third of all
    documents hold to one piece.
-3. The different contents that share a minimizer become strings of a collection. Its Burrows-Wheeler transform and common
+3. The different contents that share a minimizer, and half of what a match holds around it, become strings of a collection. Its Burrows-Wheeler transform and common
    prefixes are built by inserting one symbol of each string a round (see bwt); in suffix order, runs with common
    prefixes of 100 bytes are equal strings, and all but the earliest of a run go. A minimizer with very many contents is
    cut by the offset of its strings from the minimizer, and beyond that by the strings' own hashes: equal ones still meet.
@@ -245,6 +245,31 @@ def cut_by_band(text: np.ndarray, place: int, count: int, key: int, bands: int)
 
 
 GONE = "doc long, mark long, gone binary"
+SIDE = (LENGTH - GRAM) // 2
+
+
+def comparable(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which pieces may share a 100-byte string with another of their key.
+
+    Such a string holds the minimizer and 68 bytes around it, so 34 before it or 34 after it; with those, one of the two
+    halves must be another piece's too. Most pieces meet because of a common phrase only, and drop out here.
+    """
+    spot = np.empty(len(start), np.int64)
+    i = 0
+    while i < len(start):  # places within a part fit the low bits of the minima
+        j = max(i + 1, int(np.searchsorted(start, start[i] + BATCH_BYTES)))
+        least = gram_minima(data[start[i] : start[j - 1] + size[j - 1]])
+        spot[i:j] = (least[start[i:j] - start[i]] & _LOW).astype(np.int64) + start[i]
+        i = j
+    out = np.zeros(len(start), bool)
+    for a, z in ((spot - SIDE, spot + GRAM), (spot, spot + GRAM + SIDE)):
+        there = np.flatnonzero((a >= start) & (z <= start + size))
+        order = np.argsort(a[there], kind="stable")
+        there = there[order]
+        h = mix(span_hashes(data, a[there], z[there]) ^ mix(key[there].astype(U64)))
+        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
+        out[there[count[back] > 1]] = True
+    return out
 
 
 def compare(table: pa.Table) -> pa.Table:
@@ -259,8 +284,9 @@ def compare(table: pa.Table) -> pa.Table:
     key, doc, mark, place, size = (np.concatenate(x) for x in (keys, docs, marks, places, sizes))
     data = np.concatenate(bodies)
     start = np.cumsum(size) - size
-    order = np.argsort(key, kind="stable")
-    new_key = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    keep = np.flatnonzero(comparable(data, start, size, key))
+    order = keep[np.argsort(key[keep], kind="stable")]
+    new_key = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(order) else np.zeros(0, np.int64)
     total = np.cumsum(size[order])
     found: list[tuple[np.ndarray, np.ndarray]] = []  # (piece, place of a string in it)
     i = 0
