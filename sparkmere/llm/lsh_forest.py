@@ -147,17 +147,21 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
 
     def join_matrix(self, linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
-        """All links of a boolean block, each new member's row once."""
-        seen = np.zeros(len(columns), bool)
+        """All links of a boolean block: each of its connected parts is searched breadth-first, so a row or column is taken
+        once and the unions are fewer than rows and columns, however many links there are."""
+        new_row, new_column = linked.any(axis=1), np.ones(len(columns), bool)
         for i in range(len(rows)):
-            hit = linked[i]
-            if hit.any():
-                first = int(hit.argmax())
-                fresh = np.flatnonzero(hit & ~seen)
-                seen |= hit
-                self.join(int(rows[i]), int(columns[first]))
-                for c in fresh:
-                    self.join(int(rows[i]), int(columns[c]))
+            if not new_row[i]:
+                continue
+            new_row[i] = False
+            lead, front = int(rows[i]), np.array([i])
+            while len(front):
+                met = np.flatnonzero(linked[front].any(axis=0) & new_column)
+                new_column[met] = False
+                front = np.flatnonzero(linked[:, met].any(axis=1) & new_row)
+                new_row[front] = False
+                for k in [*columns[met], *rows[front]]:
+                    self.join(lead, int(k))
 
 
 def parts(table: pa.Table) -> Iterator[np.ndarray]:

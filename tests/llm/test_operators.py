@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -72,6 +73,35 @@ def test_near_duplicates_edges(spark, docs):
     assert got == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 0)]
 
 
+def test_chains_and_bridged_groups_are_one_class(spark):
+    """Slices of a text, each 7 words on: only neighbours are linked, so every link is needed; ids in all and in random orders."""
+    rng = random.Random(12)
+    orders = [*itertools.permutations(range(4)), *(rng.sample(range(9), 9) for _ in range(16))]
+    table = []
+    for n, order in enumerate(orders):
+        words = [f"t{n}w{i}" for i in range(140)]
+        table += [(100 * n + i, " ".join(words[7 * at : 7 * at + 74])) for at, i in enumerate(order)]
+    got = {r[0]: r[1:] for r in rows(lsh_forest.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")), "doc_id", "class_id", "copy_id", "n_links")}
+    assert got == brute.near(table) and all(v[0] == i // 100 * 100 for i, v in got.items())
+
+
+def test_forest_joins_all_links_of_a_block():
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        n, m = rng.integers(1, 30, 2)
+        linked = rng.random((n, m)) < rng.choice([0.02, 0.08, 0.5])
+        rows_, columns = np.arange(n), np.arange(n, n + m)
+        if trial % 2:  # one block against itself
+            linked, m = rng.random((n, n)) < 1 / n, n
+            linked, columns = linked | linked.T, rows_
+        order = rng.permutation(int(n + m))
+        forest, plain = lsh_forest.Forest(n + m), lsh_forest.Forest(n + m)
+        forest.join_matrix(linked, order[rows_], order[columns])
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            plain.join(int(order[rows_[i]]), int(order[columns[j]]))
+        assert [forest.find(k) for k in range(n + m)] == [plain.find(k) for k in range(n + m)]
+
+
 def test_prefixes_shorten_until_the_recall_is_reached():
     depths = [lsh_forest.prefix_depth(0.8, r) for r in (0.3, 0.9, 0.99, 0.9995, 0.9999999)]
     assert depths == sorted(depths, reverse=True)
