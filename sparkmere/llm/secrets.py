@@ -4,7 +4,7 @@ Base kinds (each leftmost, non-overlapping, over the whole text): ``assign`` a n
 ``access`` an access key of 16 or more, ``hex`` a run of 32 or more lower-case hex digits. The method adds kind
 ``entropy``: in every candidate string (a run of the characters that keys are written in) a window slides over each
 character class; symbol counts are updated by one leaving and one entering symbol; windows at or above the class's
-threshold are united to a span. Candidates that the allow-list knows (URLs and paths, UUIDs, plain words, dates and
+threshold are united to a span. Candidates that the allow-list knows (URLs and paths whose pieces are words or numbers, UUIDs, plain words, dates and
 versions) add no entropy span; base spans are never suppressed. An entropy span that lies in a base span is not repeated.
 
 Positions are code points, ends exclusive. Defined cases: null text is empty and has no spans; texts of any length are
@@ -35,9 +35,13 @@ CLASSES = {
     "alnum": ("A-Za-z0-9", 24, 4.0),
     "hex": ("0-9A-Fa-f", 32, 3.2),
 }
+#: Of a path: words (in lower case, of one capital, in capitals, or run together) and numbers of up to 8 digits; a word may
+#: end in up to 4 digits. Random letters, with case or digits changing at random, aren't of this form.
+WORD = r"(?:(?:[A-Z]?[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[A-Z][a-z]{2,})+)[0-9]{0,4}|[0-9]{1,8})"
+PIECE = rf"(?:[_-]*{WORD}(?:[_-]+{WORD})*[_-]*)"
 ALLOW = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
-    r"/*(?:[A-Za-z0-9_.-]{0,23}/)+[A-Za-z0-9_.-]{0,23}",  # paths, with or without a host
+    rf"(?=[^/]*/)/*{PIECE}(?:/+{PIECE})*/*",  # paths; a candidate has no dots, so hosts and extensions lie outside it
     r"[A-Z]?[a-z]+(?:[-_/+][A-Z]?[a-z]+)*",  # words
     r"[0-9]+(?:[-_/+][0-9]+)*",  # numbers, dates
     r"[A-Z]+(?:[-_/+][A-Z]+)*",

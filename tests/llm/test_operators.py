@@ -153,6 +153,22 @@ def test_secret_scan(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_random_keys_with_slashes_are_found_and_paths_are_not(spark):
+    rng, scanner = random.Random(11), secrets.Scanner()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    keys = [k for k in ("".join(rng.choice(letters) for _ in range(n)) for n in (24, 32, 40, 44) for _ in range(300)) if "/" in k]
+    assert scanner.spans(f"see {aws} there") == [(4, 3, 44)] and len(keys) > 300
+    for k in keys:  # the windows alone decide
+        assert bool(scanner.spans(k)) == any(scanner.windows(run, w, bits) for _, p, w, bits in scanner.classes for run in p.findall(k)), k
+    paths = ["src/main/java/com/example/MyClassName/FooBarTest", "https://www.example.com/2024/05/17/some-long-article-title/index.html", "usr/share/doc/libfoo-dev/README/CHANGES_2"]
+    paths += ["node_modules/lodash/fp/src/v2/HTTPServer/XMLParser", "home/user3/projects/a1/b/data_2024-05-17/run_0007", "//static/img/logo-128x128/icon_32x32/main/"]
+    assert not [p for p in paths if scanner.spans(p)]
+    assert scanner.spans("/" * 20_000 + aws + "a/" * 20_000 + "-_" * 20_000 + aws)  # without backtracking at length
+    out = secrets.redact(spark.createDataFrame([(1, f"see {aws} there")], "doc_id long, text string"))
+    assert rows(out, "text") == [("see [SECRET] there",)]
+
+
 def test_entropy_windows_by_incremental_counts():
     import math
 
