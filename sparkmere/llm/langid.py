@@ -5,8 +5,8 @@ case, all else as a space), hashed to a fixed number of places, and k(x, z) = |x
 are texts of the training sample; one-versus-rest kernel ridge regression is solved in their span. A batch of texts is
 scored by two matrix products: presence rows times landmark rows, then kernel values times coefficients.
 
-Fitting uses a bounded sample: about `per_lang` labelled rows of each label, picked by a hash of their id. A text of the
-sample reaches the driver as a bitmap of its places, 8 KiB whatever its length. Prediction reads every text whole.
+Every label is learnt. Fitting uses a bounded sample: about `per_lang` labelled rows of each label, picked by a hash of
+their id, and fewer of each, but one at least, where there are more than 64 labels. A text of the sample reaches the driver as a bitmap of its places, 8 KiB whatever its length. Prediction reads every text whole.
 
 Defined cases: null text, or text without a letter: `und`, score 0. No labelled row to learn from: all `und`. Ties go to
 the label that sorts first. Repeated rows get equal results; extra columns are kept, result columns win over clashing names.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, tidy
+from .common import annotate, cut, tidy
 
 ORDERS = (1, 2, 3, 4)
 PLACES = 1 << 16
@@ -70,9 +70,10 @@ def fit(sample: list[tuple[str, bytes]], landmarks_per_lang: int = 32, ridge: fl
     if not sample:
         return None
     langs = sorted({label for label, _ in sample})
-    marks: list[int] = []
-    for lang in langs:
-        marks += [i for i, (label, _) in enumerate(sample) if label == lang][:landmarks_per_lang]
+    own: dict[str, list[int]] = {lang: [] for lang in langs}
+    for i, (label, _) in enumerate(sample):
+        own[label].append(i)
+    marks = [i for lang in langs for i in own[lang][:landmarks_per_lang]]
     rows = lambda ids: np.stack([np.unpackbits(np.frombuffer(sample[i][1], np.uint8)) for i in ids])
     z = rows(marks)
     places = np.flatnonzero(z.any(axis=0))
@@ -89,8 +90,10 @@ def fit(sample: list[tuple[str, bytes]], landmarks_per_lang: int = 32, ridge: fl
     good = value > value.max() * 1e-8
     root = vector[:, good] / np.sqrt(value[good])  # K_mm to the power -1/2
     phi = k @ root
-    y = np.array([[1.0 if label == lang else -1.0 for lang in langs] for label, _ in sample])
-    balance = np.array([len(sample) / (len(langs) * sum(label == mine for label, _ in sample)) for mine, _ in sample])
+    number = {lang: i for i, lang in enumerate(langs)}
+    which = np.array([number[label] for label, _ in sample])
+    y = np.where(which[:, None] == np.arange(len(langs)), 1.0, -1.0)
+    balance = (len(sample) / (len(langs) * np.bincount(which)))[which]
     a = phi.T @ (phi * balance[:, None]) + ridge * len(sample) * np.eye(phi.shape[1])
     return Model(langs, places, zf.astype(bool), scale.astype(np.float32), (root @ np.linalg.solve(a, phi.T @ (y * balance[:, None]))).astype(np.float32))
 
@@ -125,15 +128,20 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, per_lang: int = 300, landmarks_per_lang: int = 32, key: str = "doc_id", text: str = "text", label: str = "lang", most_langs: int = 64) -> Model | None:
-    """A model of the labelled documents outside the held-out fold; the `most_langs` most frequent labels are learnt."""
-    rows = docs.where(~held_out(key) & F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(label).alias("label")).count().orderBy(F.desc("count"), "label").limit(most_langs).collect()
-    if not counts:
-        return None
+def train(docs: DataFrame, per_lang: int = 300, landmarks_per_lang: int = 32, key: str = "doc_id", text: str = "text", label: str = "lang", full_langs: int = 64) -> Model | None:
+    """A model of all labels of the documents outside the held-out fold. With more than `full_langs` labels the sample and
+    the landmarks of each label shrink, to one at least, so that the sample of all stays bounded; no label is left out."""
+    rows = docs.where(~held_out(key) & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
     h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(7))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, 1.5 * per_lang / r["count"])))])
-    picked = rows.where(F.pmod(h, F.lit(1 << 30)) < F.try_element_at(share, F.col(label)) * (1 << 30))
+    h = F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.lit(7))).otherwise(h)
+    place = F.pmod(h, F.lit(1 << 30))
+    counts = cut(rows.groupBy(F.col(label).alias("__label__")).agg(F.count("*").alias("__count__"), F.min(place).alias("__least__")))
+    langs = counts.count()
+    if not langs:
+        return None
+    per_lang, landmarks_per_lang = (max(1, min(n, n * full_langs // langs)) for n in (per_lang, landmarks_per_lang))
+    limits = F.broadcast(counts.withColumn("__edge__", F.least(F.lit(1.0), 1.5 * per_lang / F.col("__count__")) * (1 << 30)))
+    picked = rows.join(limits, F.col(label) == F.col("__label__")).where((place < F.col("__edge__")) | (place == F.col("__least__")))
     schema = "label string, h long, bits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

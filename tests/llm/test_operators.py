@@ -46,6 +46,23 @@ def test_language_id_edges(spark, docs):
     assert langid.predict(empty(docs), model).count() == 0
 
 
+def test_every_label_is_learnt(spark):
+    """More labels than get a full sample, also with many rows of a few and few of others, and labels with null ids."""
+    rng = random.Random(13)
+    table = []
+    for n in range(90):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)]
+        table += [(len(table) + i, " ".join(rng.choices(words, k=40)), f"l{n:02}") for i in range(12 if n % 3 else 60)]
+    table += [(None, "null ids only " * (i + 1), "no id") for i in range(5)] + [(i, "123 ...", "no letter") for i in range(9000, 9020)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    model = langid.train(df, per_lang=6, landmarks_per_lang=3, full_langs=20)
+    assert model.langs == sorted({r[2] for r in table} - {"no letter"}) and len(model.weights) <= 3 * 20 + 91
+    assert len(langid.train(df, per_lang=4, landmarks_per_lang=2).langs) == 91  # as many as the table has, whatever the default
+    found = langid.predict(df, langid.train(df, per_lang=20, landmarks_per_lang=8)).where(langid.held_out() & (F.col("lang") != "no letter"))
+    right, total = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert total > 300 and right / total > 0.95
+
+
 def test_kernel_presence_is_the_same_in_parts(monkeypatch):
     text = "".join(random.Random(1).choices("abc é,1", k=500))
     whole, parts = np.zeros(langid.PLACES, bool), np.zeros(langid.PLACES, bool)
