@@ -4,9 +4,10 @@ A document is its set of word 5-grams (lower-cased runs of letters and digits; a
 words). Documents with equal sets form a class, represented by its smallest id, so copies never become pairs.
 
 1. Signatures: 128 minima, laid out as 16 sequences of 8, one for each tree of the forest.
-2. Prefixes: a tree is the sorted prefix trie of its sequences. Matching starts at full length and shortens, level by
-   level, until the chance that two documents at the threshold meet in some tree reaches the target recall (0.9995);
-   documents below one trie node of that depth are candidates of each other (deeper matches lie below the same node).
+2. Prefixes: one fixed depth for all trees, the longest at which the computed chance that two documents at the threshold
+   meet in some tree reaches the target recall (0.9995): 4 at 0.8. Documents with equal prefixes of that depth in a tree
+   are candidates of each other. This is banding: no trie is built or sorted, and no longer prefix is matched, as
+   documents that share one share the shorter too; the other minima serve the estimate.
 3. Within a node, signatures are compared in blocks; pairs whose estimate is within 4 standard deviations of the
    threshold join their candidate groups. Only a spanning forest of them leaves the task.
 4. Exact verification: the sets of a candidate group are compared in blocks by a sparse product over shared grams. Each
