@@ -4,13 +4,12 @@ Tokens: a text is cut at spaces and line feeds; no token of these vocabularies s
 chunks, one after another, are the ids of the text. Chunks repeat, so a worker keeps those it has seen with their ids
 (by 64-bit hash, up to a stated number) and asks the tokenizer for the rest.
 
-Packing is bulk-synchronous best fit. Pieces are range-sorted by falling length and numbered. A superstep takes the
-pieces of one length: gaps are sorted, each piece goes to the successor of its length among them (the smallest gap that
-holds it), pieces that want the same gap are told apart by rank, gaps are updated, and so on until no gap holds the
-length; then new sequences open. As lengths and gaps are integers up to the capacity, a superstep moves whole runs of
-ranks to whole runs of sequences, so the driver holds one count a length and a few runs a length, however many documents
-there are, and the result equals one-by-one best fit in falling order. The sweep over pieces is one lookup of their
-rank among the runs, on the executors.
+Packing is best fit in falling order of length, matched on the driver: best_fit() loops over the counts of lengths, at most
+`capacity` of them. Pieces of one length are alike, so a run of them goes to a run of sequences with the smallest gap that
+holds it, until no gap holds the length; then new sequences open. Distributed rounds (sorted gaps, successor searches,
+conflicts resolved by rank) aren't run: rank by rank they would give the same gaps to the same lengths, and the driver holds
+one count and a few runs a length, however many documents there are. Executors range-sort and number the pieces by falling
+length and look each rank up among the broadcast runs.
 
 Defined cases: null text is empty (one id: the end mark); longer documents are cut into full pieces and a rest; repeated
 rows are packed each; an empty table gives no rows.
