@@ -78,9 +78,12 @@ def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of our own only where it names none."""
+    """The folder that all executors share, as the session names it. Where it names none, one of our own will do on one
+    machine only: a folder of the driver is lost to a cluster's executors, so there that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sparkmere-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -118,10 +121,16 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-def parts_for(df: DataFrame, bytes_each: int = 48 << 20) -> int:
-    """How many hash buckets keep one bucket within an executor's memory: grows with the input, has no upper bound but sanity."""
+def text_bytes(df: DataFrame, text: str) -> int:
+    """The bytes of a column of texts, counted."""
+    return df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+
+
+def parts_for(df: DataFrame, bytes_each: int = 48 << 20, size: int | None = None) -> int:
+    """How many hash buckets keep one bucket within an executor's memory: grows with the input, has no upper bound but
+    sanity. size: the bytes of df, where they were counted."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 20, input_bytes(df) // bytes_each + 1))
+    return max(least, min(1 << 20, (input_bytes(df) if size is None else size) // bytes_each + 1))
 
 
 def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
@@ -184,12 +193,14 @@ def annotate(df: DataFrame, needs: list[str], adds: T.StructType, make: Callable
     return sent.mapInArrow(tidy(run), schema)
 
 
-def probable_members(rows: DataFrame, ids: DataFrame, by: list[str], bits: int = 22) -> tuple[DataFrame, DataFrame]:
-    """(rows that may be in ids, rows that surely aren't), by a bitmap of fixed size over the hash of the columns `by`.
+def probable_members(rows: DataFrame, ids: DataFrame, by: list[str], most_bits: int = 27) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be in ids, rows that surely aren't), by a bitmap over the hash of the columns `by`.
 
-    The bitmap has 2**bits bits as one long a row, 2**(bits-6) rows at most, whatever the number of ids: it may be
-    broadcast. With more ids it lets more rows through, and the exact join that follows still decides. `rows` is read twice.
+    The bitmap has some 16 bits an id, 2**22 at least and 2**most_bits at most, as one long a row: 2**(most_bits-6) rows at
+    most whatever the number of ids, so it may be broadcast. With more ids it lets more rows through, and the exact join that
+    follows still decides. `rows` is read twice.
     """
+    bits = min(most_bits, max(22, (16 * ids.count()).bit_length()))
     place = F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.lit(1 << bits))
     bit = F.expr("shiftleft(1L, cast(__place__ & 63 as int))")
     words = ids.select(place.alias("__place__")).groupBy(F.shiftright("__place__", 6).alias("__word__")).agg(F.bit_or(bit).alias("__bits__"))
@@ -198,3 +209,44 @@ def probable_members(rows: DataFrame, ids: DataFrame, by: list[str], bits: int =
     hit = F.coalesce(F.col("__bits__").bitwiseAND(bit) != 0, F.lit(False))
     columns = [F.col(f"`{c}`") for c in rows.columns]
     return tested.where(hit).select(*columns), tested.where(~hit).select(*columns)
+
+
+#: Keys that are salted number at most this many, so a table of them may be broadcast.
+BUSY_KEYS = 20_000
+SALT = "__salt__"
+
+
+class Spread:
+    """Salts for keys that many rows share. counts: (key, n), kept already; n rows have that key.
+
+    A key is busy with more than `per` rows, and per grows with the table, so at most BUSY_KEYS keys are. A busy key's rows
+    are dealt to n / per salts by a hash of other columns; what is joined to them has one copy a salt.
+    """
+
+    def __init__(self, counts: DataFrame, key: str, n: str, per: int = 1000):
+        self.key = key
+        total, top = counts.agg(F.sum(n), F.max(n)).first()
+        self.per = max(per, (total or 0) // BUSY_KEYS + 1)
+        self.busy = None
+        if (top or 0) > self.per:
+            self.busy = cut(counts.where(F.col(n) > self.per).select(F.col(key).alias(key), F.ceil(F.col(n) / self.per).cast("int").alias("__salts__")))
+
+    def salted(self, rows: DataFrame, *by: str, key: str | None = None) -> DataFrame:
+        """The many rows of a key, with their salt."""
+        if self.busy is None:
+            return rows.withColumn(SALT, F.lit(0))
+        busy = self.busy.withColumnRenamed(self.key, key) if key else self.busy
+        salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("__salts__")).cast("int"), F.lit(0))
+        return rows.join(F.broadcast(busy), key or self.key, "left").withColumn(SALT, salt).drop("__salts__")
+
+    def copied(self, rows: DataFrame, key: str | None = None) -> DataFrame:
+        """The one row of a key, once for each salt."""
+        if self.busy is None:
+            return rows.withColumn(SALT, F.lit(0))
+        busy = self.busy.withColumnRenamed(self.key, key) if key else self.busy
+        return rows.join(F.broadcast(busy), key or self.key, "left").withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce("__salts__", F.lit(1)) - 1))).drop("__salts__")
+
+    def join(self, many: DataFrame, one: DataFrame, *by: str, how: str = "inner") -> DataFrame:
+        if self.busy is None:
+            return many.join(one, self.key, how)
+        return self.salted(many, *by).join(self.copied(one), [self.key, SALT], how).drop(SALT)

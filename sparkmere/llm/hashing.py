@@ -9,8 +9,7 @@ import xxhash
 
 U64 = np.uint64
 _BASE = 0x9E6C63D0876A9A47  # odd, so it has an inverse modulo 2**64
-_SPAN = 1 << 20  # bytes hashed at a time
-_LONG = 4096  # words beyond this are hashed one by one
+_LONG = 256  # spans beyond this are hashed one by one
 
 
 @functools.cache
@@ -75,26 +74,53 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span data[start:end]; starts ascend. Equal bytes have equal hashes, wherever they stand."""
-    out = np.empty(len(starts), U64)
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; zeros beyond the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], U64)  # masks of the first n bytes
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span data[start:end]. Equal bytes have equal hashes, wherever they stand.
+
+    Eight bytes at a time go through a bijection, so spans of up to 8 bytes and equal length never collide. Lanes are hashes
+    that are independent of each other: two of them make 128 bits.
+    """
     size = ends - starts
+    h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(lane * 0xD6E8FEB86659FD93 + 1 & (1 << 64) - 1))
+    eights = _eights(data)
+    at, left, who = starts, size, None
+    for i in range(0, _LONG, 8):
+        some = np.flatnonzero(left > 0)
+        if not len(some):
+            break
+        if len(some) < len(left):
+            at, left = at[some], left[some]
+            who = some if who is None else who[some]
+        x = eights[at] & _KEEP[np.minimum(left, 8)]
+        if who is None:
+            h = mix(h ^ x)
+        else:
+            h[who] = mix(h[who] ^ x)
+        at, left = at + 8, left - 8
     for i in np.flatnonzero(size > _LONG):
-        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
-    short = np.flatnonzero(size <= _LONG)
-    s_all, e_all = starts[short], ends[short]
-    power, inverse = _powers(_SPAN + _LONG + 1)
-    i = 0
-    while i < len(short):
-        at = s_all[i]
-        j = int(np.searchsorted(s_all, at + _SPAN))
-        s, e = s_all[i:j] - at, e_all[i:j] - at
-        seg = data[at : at + int(e.max())]
-        total = np.empty(len(seg) + 1, U64)
-        total[0] = 0
-        np.cumsum((seg.astype(U64) + U64(1)) * power[: len(seg)], dtype=U64, out=total[1:])
-        out[short[i:j]] = mix((total[e] - total[s]) * inverse[s])
-        i = j
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), lane)
+    return h
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Booleans: data[a:a+size] == data[b:b+size], byte by byte."""
+    eights, out = _eights(data), np.ones(len(a), bool)
+    who = np.flatnonzero((size > 0) & (a != b))
+    done = 0
+    while len(who):
+        keep = _KEEP[np.minimum(size[who] - done, 8)]
+        out[who] = (eights[a[who] + done] & keep) == (eights[b[who] + done] & keep)
+        done += 8
+        who = who[out[who] & (size[who] > done)]
     return out
 
 

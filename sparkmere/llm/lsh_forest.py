@@ -4,20 +4,24 @@ A document is its set of word 5-grams (lower-cased runs of letters and digits; a
 words). Documents with equal sets form a class, represented by its smallest id, so copies never become pairs.
 
 1. Signatures: 128 minima, laid out as 16 sequences of 8, one for each tree of the forest.
-2. Prefixes: one fixed depth for all trees, the longest at which the computed chance that two documents at the threshold
-   meet in some tree reaches the target recall (0.9995): 4 at 0.8. Documents with equal prefixes of that depth in a tree
-   are candidates of each other. This is banding: no trie is built or sorted, and no longer prefix is matched, as
-   documents that share one share the shorter too; the other minima serve the estimate.
-3. Within a node, signatures are compared in blocks; pairs whose estimate is within 4 standard deviations of the
-   threshold join their candidate groups. Only a spanning forest of them leaves the task.
-4. Exact verification: the sets of a candidate group are compared in blocks by a sparse product over shared grams. Each
-   representative gets its exact number of links, and a spanning forest of the exact links gives the groups.
+2. Tries: sequences are dealt by tree and by the prefix at which shortening must end: the longest at which the computed
+   chance that two documents at the threshold meet in some tree reaches the target recall (0.9995; a prefix of 4 at 0.8).
+   Each task sorts the sequences of a subtrie; the common prefixes of neighbours are its nodes.
+3. Matched prefixes shorten, node by node from the deepest to that end: a node's members are compared over all 128 minima
+   across its children, and pairs whose estimate is within 4 standard deviations of the threshold join their candidate
+   groups. Members that longer prefixes have brought together aren't compared again, and a node whose members are all one
+   group is done, so for a large group of near copies short prefixes cost little. Only a spanning forest leaves the task.
+4. Exact verification: the sets of a candidate group are compared in blocks by a sparse product over shared grams (as
+   64-bit hashes). Each representative gets its exact number of links, and a spanning forest of the exact links gives the
+   groups.
 
 Nodes and groups of more than BLOCK members are dealt out as pairs of blocks, so no task holds a whole large group; no
-pair of documents becomes a row. Only documents that have a candidate are shuffled with their text.
+pair of documents becomes a row, and joins on nodes, groups and sets are salted. As the number of links is exact, a group of
+m different texts costs m * m / 2 comparisons. Only documents that have a candidate are shuffled with their text.
 
-Defined cases: null or wordless text has no grams and no links; null ids are left out; repeated rows (equal id) count as
-copies; an empty table gives no rows; other input columns are not carried, so their names cannot clash.
+Defined cases: null or wordless text has no grams and no links; null ids are left out; repeated rows (equal id and text)
+count as copies; an id with several texts is one document, linked through any of them, with the links of the text that has
+most; an empty table gives no rows; other input columns are not carried, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups, parts_for, probable_members, strings, tidy, tidy_group, written
+from .common import Spread, cut, groups, parts_for, probable_members, strings, text_bytes, tidy, tidy_group, written
 from .components import components
-from .hashing import U64, byte_class, gram_hashes, lower_ascii, mix, span_hashes, word_bounds
+from .hashing import U64, byte_class, gram_hashes, lower_ascii, mix, runs, span_hashes, word_bounds
 
 GRAM = 5
 TREES, DEPTH = 16, 8
@@ -79,21 +83,21 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     return out
 
 
-SIGNED = "doc long, set_id binary, n int, sig binary"
+SIGNED = "doc long, mark long, set_id binary, n int, sig binary"
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, offs = strings(b.column(1))
-        ids = b.column(0).to_numpy()
+        data, offs = strings(b.column(2))
+        ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
         for i, j in groups(offs, 4 << 20):
             sets = gram_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             at = [r for r, s in enumerate(sets) if len(s)]
             if at:
                 sig = signatures([sets[r] for r in at], TREES * DEPTH)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j][at]), pa.array([xxhash.xxh3_128_digest(sets[r].tobytes()) for r in at], pa.binary()), pa.array([len(sets[r]) for r in at], pa.int32()), pa.array([s.tobytes() for s in sig], pa.binary())],
-                    names=["doc", "set_id", "n", "sig"],
+                    [pa.array(ids[i:j][at]), pa.array(marks[i:j][at]), pa.array([xxhash.xxh3_128_digest(sets[r].tobytes()) for r in at], pa.binary()), pa.array([len(sets[r]) for r in at], pa.int32()), pa.array([s.tobytes() for s in sig], pa.binary())],
+                    names=["doc", "mark", "set_id", "n", "sig"],
                 )
 
 
@@ -102,7 +106,7 @@ def sig_array(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def nodes(depth: int):
-    """(node, rep): the trie node of each tree at the given depth."""
+    """(node, tree, rep): the subtrie of each tree at the given depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,7 +118,8 @@ def nodes(depth: int):
                     h = mix(h * U64(0x9E3779B97F4A7C15) + sig[:, t * DEPTH + d])
                 keys.append(h.view(np.int64))
             rep = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(rep, TREES))], names=["node", "rep"])
+            tree = np.repeat(np.arange(TREES, dtype=np.int32), len(rep))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(tree), pa.array(np.tile(rep, TREES))], names=["node", "tree", "rep"])
 
     return run
 
@@ -183,28 +188,64 @@ def sides(mine: np.ndarray, own: np.ndarray, first: np.ndarray, second: np.ndarr
 EDGES = "a long, b long"
 
 
-def candidates(threshold: float):
+def tries(sequences: np.ndarray, shortest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The order that sorts the sequences, and the nodes of their trie from the deepest level to `shortest`: for each level
+    that has some (level, starts, ends, child): members [start, end) of the order share so long a prefix, and those with
+    equal child share more."""
+    order = np.lexsort(sequences.T[::-1])
+    x = sequences[order]
+    common = np.cumprod(x[1:] == x[:-1], axis=1).sum(axis=1)
+    levels = []
+    for level in np.unique(common)[::-1]:
+        if level < shortest:
+            break
+        s, e = runs(common >= level)
+        child = np.concatenate(([0], np.cumsum(common <= level)))
+        levels.append((int(level), s, e + 1, child))
+    return order, levels
+
+
+def unite(forest: Forest, sig: np.ndarray, rows: np.ndarray, columns: np.ndarray, child: np.ndarray, least: float) -> None:
+    """Joins members whose estimate reaches `least`, across the children of a node and not within a group that is one already."""
+    lead = np.fromiter(map(forest.find, range(len(forest.up))), np.int64, len(forest.up))
+    for at in range(0, len(rows), 64):
+        r = rows[at : at + 64]
+        for to in range(0, len(columns), 64):
+            c = columns[to : to + 64]
+            new = (lead[r][:, None] != lead[c][None, :]) & (child[r][:, None] != child[c][None, :])
+            if new.any():
+                same = (sig[r][:, None, :] == sig[c][None, :, :]).mean(axis=2, dtype=np.float32)
+                forest.join_matrix(new & (same >= least), r, c)
+
+
+def candidates(threshold: float, recall: float):
     least = threshold - 4 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
+    shortest = prefix_depth(threshold, recall)
 
     def run(table: pa.Table) -> pa.Table:
-        rep, sig = table["rep"].to_numpy(), sig_array(table["sig"])
+        rep, tree, sigs = table["rep"].to_numpy(), table["tree"].to_numpy(), sig_array(table["sig"])
         own, first, second = (table[c].to_numpy() for c in ("own", "first", "second"))
         out: list[np.ndarray] = []
         for mine in parts(table):
+            if len(mine) < 2:
+                continue
             mine = mine[np.argsort(rep[mine], kind="stable")]
-            place = {int(x): k for k, x in enumerate(mine)}
-            forest = Forest(len(mine))
-            x, y, _ = sides(mine, own, first, second)
-            py = np.array([place[int(k)] for k in y])
-            for at in range(0, len(x), 64):
-                rows = x[at : at + 64]
-                for to in range(0, len(y), 64):
-                    same = (sig[rows][:, None, :] == sig[y[to : to + 64]][None, :, :]).mean(axis=2, dtype=np.float32)
-                    forest.join_matrix(same >= least, np.array([place[int(k)] for k in rows]), py[to : to + 64])
+            t = int(tree[mine[0]])
+            order, levels = tries(sigs[mine, t * DEPTH : (t + 1) * DEPTH], shortest)
+            ranked, forest = sigs[mine][order], Forest(len(mine))  # members by their rank in the trie
+            one = first[mine[0]] == second[mine[0]]
+            left = np.ones(len(mine), bool) if one else own[mine][order] == first[mine[0]]
+            for _, starts, ends, child in levels:
+                for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                    lead = forest.find(s)
+                    if all(forest.find(k) == lead for k in range(s + 1, e)):
+                        continue
+                    members = np.arange(s, e)
+                    unite(forest, ranked, members[left[s:e]], members if one else members[~left[s:e]], child, least)
             lead = np.array([forest.find(k) for k in range(len(mine))])
             rest = np.flatnonzero(lead != np.arange(len(mine)))
             if len(rest):
-                out.append(np.stack([rep[mine[rest]], rep[mine[lead[rest]]]]))
+                out.append(np.stack([rep[mine[order[rest]]], rep[mine[order[lead[rest]]]]]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
@@ -284,26 +325,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """One row a document: the key, class_id (smallest id of its group of linked documents), copy_id (smallest id with an
     equal set of grams; its own for a document without grams), n_links (other documents at or above the threshold)."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("doc"), body.alias("body")).where("doc is not null")
-    buckets = parts_for(docs)
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body")).where("doc is not null")
+    buckets = parts_for(docs, size=text_bytes(docs, text))
     share = threshold[0] / threshold[1]
     signed = written(rows.mapInArrow(tidy(scan), SIGNED))
-    reps = written(signed.groupBy("set_id").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
-    met = cut(reps.select("rep", "sig").mapInArrow(tidy(nodes(prefix_depth(share, recall))), "node long, rep long"))
-    shared = met.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-    in_nodes = dealt(met.join(shared, "node"), "node", "members", "rep", buckets)
-    wanted = reps.select("rep", "sig")
-    edges = in_nodes.join(wanted, "rep").groupBy("bucket").applyInArrow(tidy_group(candidates(share)), EDGES).distinct()
+    sets = signed.groupBy("set_id").agg(F.min(F.struct("doc", "mark")).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    reps = written(sets.select("set_id", "rep.doc", "rep.mark", "copies", "sig").withColumnRenamed("doc", "rep"))
+    met = cut(reps.select("rep", "sig").mapInArrow(tidy(nodes(prefix_depth(share, recall))), "node long, tree int, rep long"))
+    shared = cut(met.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"))
+    in_nodes = dealt(Spread(shared, "node", "members").join(met, shared, "rep"), "node", "members", "rep", buckets)
+    edges = in_nodes.join(reps.select("rep", "sig"), "rep").groupBy("bucket").applyInArrow(tidy_group(candidates(share, recall)), EDGES).distinct()
     found = cut(components(edges).select(F.col("node").alias("rep"), "component"))
-    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+    sizes = cut(found.groupBy("component").agg(F.count("*").alias("members")))
     may, _ = probable_members(rows.withColumnRenamed("doc", "rep"), found, ["rep"])
-    texts = may.join(found, "rep").join(reps.select("rep", "copies"), "rep").dropDuplicates(["rep"])
-    sets = texts.select("rep", "body", "copies", "component").mapInArrow(tidy(send_sets), "rep long, copies long, component long, grams binary")
-    parts_ = dealt(sets.join(sizes, "component"), "component", "members", "rep", buckets)
+    texts = may.join(found, "rep").join(reps.select("rep", "mark", "copies"), ["rep", "mark"]).dropDuplicates(["rep", "mark"])
+    grams = texts.select("rep", "body", "copies", "component").mapInArrow(tidy(send_sets), "rep long, copies long, component long, grams binary")
+    parts_ = dealt(Spread(sizes, "component", "members").join(grams, sizes, "rep"), "component", "members", "rep", buckets)
     linked = cut(parts_.groupBy("bucket").applyInArrow(tidy_group(verify(threshold)), LINKED))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(linked.select(F.col("rep").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("rep"), "component")
     per_class = reps.select("set_id", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    each = signed.select("doc", "set_id").join(per_class, "set_id").select("doc", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    each = each.dropDuplicates(["doc"])
+    each = Spread(reps.select("set_id", "copies"), "set_id", "copies").join(signed.select("doc", "set_id"), per_class, "doc")
+    each = each.select("doc", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    each = each.groupBy("doc").agg(F.min("class_id").alias("class_id"), F.min("copy_id").alias("copy_id"), F.max("n_links").alias("n_links"))
     return rows.select("doc").join(each, "doc", "left").select(F.col("doc").alias(key), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("copy_id", "doc").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -1,39 +1,62 @@
 """Best-fit packing of tokenized documents into sequences of bounded length.
 
-Tokens: a text is cut at spaces and line feeds; no token of these vocabularies spans white space, so the ids of the
-chunks, one after another, are the ids of the text. Chunks repeat, so a worker keeps those it has seen with their ids
-(by 64-bit hash, up to a stated number) and asks the tokenizer for the rest.
-
-Packing is best fit in falling order of length, matched on the driver: best_fit() loops over the counts of lengths, at most
-`capacity` of them. Pieces of one length are alike, so a run of them goes to a run of sequences with the smallest gap that
-holds it, until no gap holds the length; then new sequences open. Distributed rounds (sorted gaps, successor searches,
-conflicts resolved by rank) aren't run: rank by rank they would give the same gaps to the same lengths, and the driver holds
-one count and a few runs a length, however many documents there are. Executors range-sort and number the pieces by falling
-length and look each rank up among the broadcast runs.
+Tokens: where the vocabulary's file says that white space is dropped and words are cut as _CHUNKED lists, a text is cut at
+spaces and line feeds; no token spans white space then, so the ids of the chunks, one after another, are the ids of the
+text. Chunks repeat, so a worker keeps those it has seen with their ids (by their bytes, up to a stated number) and asks
+the tokenizer for the rest. With any other vocabulary the tokenizer gets whole texts.
+
+Packing is bulk-synchronous best fit. A round of pack():
+
+1. Pieces without a place and gaps of open sequences are range-sorted together by falling size, gaps first where equal.
+2. Successor sweep: in that order gaps are stacked, and a piece takes the top of the stack, which is the smallest gap that
+   holds it. Every partition sweeps its own range as arrays; what it leaves over is a run of pieces that need a gap of a
+   range before, and a run of gaps.
+3. Conflicts are resolved by rank: the driver runs the same stack over one pair of counts a partition, and the i-th piece
+   left over by a partition is joined with the gap of the rank that this gives it.
+4. Pieces that found no gap open sequences, as many by rank in each as it is sure to hold.
+5. Gaps are updated. A gap that holds the longest piece left several times enters as so many slots, so runs of small pieces
+   need few rounds; gaps below the shortest piece left are closed.
+
+A round takes the pieces that fit k times into a sequence, but not k+1 times, for k = 1 to FEW; below that those of more
+than half of the longest length left, and sequences are opened only as the tokens left need them beyond all gaps. Rounds
+repeat until all have a place: some 15, whatever the number of documents. No task holds more than its range, ties are spread by id, the driver sees a few
+numbers a partition, and every round is kept in the shared folder.
 
 Defined cases: null text is empty (one id: the end mark); longer documents are cut into full pieces and a rest; repeated
-rows are packed each; an empty table gives no rows.
+rows and null keys are packed each, and equal lengths come in the order of the rows; an empty table gives no rows. Of the
+documents only the key is carried: one named like a result column of pieces() comes out as ``key_`` and its name. pack()
+keeps all columns of its input; its own two win over clashing names.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import itertools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, groups, held, strings, tidy
-from .hashing import span_hashes, word_bounds
-from .sharding import numbered
+from .common import cut, drop_clashing, groups, held, strings, tidy
+from .hashing import equal_spans, span_hashes, word_bounds
 
 END = 0
+# The settings of a vocabulary that cuts at white space, for which single chunks can be encoded.
+_CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _CHUNK = np.ones(256, bool)  # bytes of a chunk: all but space and line feed
 _CHUNK[[0x20, 0x0A]] = False
 
@@ -59,9 +82,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.chunked = all(settings.get(k) == v for k, v in _CHUNKED.items())
         self.letters = _byte_letters()
         self.most = most
-        self.chunks: dict[int, int] = {}  # hash of a chunk: its number
+        self.chunks: dict[bytes, int] = {}  # a chunk: its number
         self.words: dict[str, list[int]] = {}
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
@@ -76,7 +102,8 @@ class Encoder:
         keep = np.flatnonzero(seen >= least)
         if len(keep) > self.most // 2:
             keep = np.flatnonzero(seen > least)
-        keys = np.fromiter(self.chunks, np.uint64, self.count)[keep]  # in the order of their numbers
+        keys = list(self.chunks)  # in the order of their numbers
+        keys = [keys[i] for i in keep]
         sizes, starts = self.sizes[keep], self.starts[keep]
         total = np.cumsum(sizes)
         used = int(total[-1]) if len(keep) else 0
@@ -85,7 +112,7 @@ class Encoder:
         self.batches[len(keep) : self.count] = 0
         self.sizes[: len(keep)], self.starts[: len(keep)] = sizes, total - sizes
         self.used, self.count = used, len(keep)
-        self.chunks = dict(zip(keys.tolist(), range(len(keep)), strict=True))
+        self.chunks = dict(zip(keys, range(len(keep)), strict=True))
 
     def word(self, word: str) -> list[int]:
         """Of letters below U+0100 in lower case, or one mark: lower case and normal form need no context here."""
@@ -102,9 +129,9 @@ class Encoder:
                 return self.word(chunk[:-1].lower()) + self.word(chunk[-1])
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
-    def learn(self, keys: list[int], chunks: list[str]) -> None:
-        lists = [self.encode(c) for c in chunks]
-        self.chunks.update(zip(keys, range(self.count, self.count + len(keys)), strict=True))
+    def learn(self, chunks: list[bytes]) -> None:
+        lists = [self.encode(c.decode()) for c in chunks]
+        self.chunks.update(zip(chunks, range(self.count, self.count + len(chunks)), strict=True))
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
         while self.count + len(sizes) > len(self.sizes):
@@ -119,22 +146,37 @@ class Encoder:
         self.count += len(sizes)
         self.used += len(ids)
 
+    def whole(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """rows() by the tokenizer alone."""
+        lists = [self.tokenizer.encode(data[a:z].tobytes().decode(), add_special_tokens=False).ids for a, z in itertools.pairwise(offs.tolist())]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), np.concatenate(([0], np.cumsum(sizes)))
+
+    hashes = staticmethod(span_hashes)
+
     def rows(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids before each row) of concatenated UTF-8 texts. Each different chunk is looked up once, by its hash."""
+        """(ids, number of ids before each row) of concatenated UTF-8 texts. Each different chunk is looked up once: those of
+        equal hash are compared byte by byte, and one that differs from the first of its hash is looked up for itself."""
+        if not self.chunked:
+            return self.whole(data, offs)
         if self.count > self.most:
             self.forget()
         if len(self.words) > self.most // 3:
             self.words.clear()
         starts, ends, before = word_bounds(data, offs, _CHUNK)
-        key, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = key.tolist()
-        at = list(map(self.chunks.get, keys))
-        if new := [i for i, n in enumerate(at) if n is None]:
-            base = self.count
-            raw, s, e = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
-            self.learn([keys[i] for i in new], [raw[x:y].decode() for x, y in zip(s, e, strict=True)])
-            for n, i in enumerate(new):
-                at[i] = base + n
+        _, first, inverse = np.unique(self.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        lead, size = first[inverse], ends - starts
+        same = size == size[lead]
+        same[same] = equal_spans(data, starts[same], starts[lead[same]], size[same])
+        if not same.all():
+            odd = np.flatnonzero(~same)
+            inverse[odd] = len(first) + np.arange(len(odd))
+            first = np.concatenate([first, odd])
+        raw = data.tobytes()
+        keys = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if new := list(dict.fromkeys(k for k in keys if k not in self.chunks)):
+            self.learn(new)
+        at = list(map(self.chunks.__getitem__, keys))
         which = np.array(at, np.int64)
         self.batches[which] = np.minimum(self.batches[which], 60_000) + 1
         which = which[inverse]
@@ -152,7 +194,8 @@ def encoder(path: str, most: int = 300_000) -> Encoder:
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """The key, piece, start, length, ids_crc32 (and ids): the documents' tokens, the end mark last, cut at the capacity."""
     kind = docs.select(F.col(key)).schema.fields[0].dataType
-    fields = [T.StructField(key, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
+    own = f"key_{key}" if key.lower() in {"piece", "start", "length", "ids_crc32", "ids"} else key
+    fields = [T.StructField(own, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     names = [f.name for f in fields]
@@ -178,78 +221,139 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, key: str = "d
             arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names)
 
-    return docs.select(F.col(key), F.col(text).cast("string").alias("__text__")).mapInArrow(tidy(run, f"encoder {vocabulary}"), T.StructType(fields))
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
-    """Runs (first rank, pieces, first sequence, offset): piece first+i of the ranks in falling order of length goes to sequence first+i."""
-    gaps: list[int] = []  # sorted
-    open_at: dict[int, list[list[int]]] = {}  # gap: runs [first sequence, sequences] with it
-    runs: list[tuple[int, int, int, int]] = []
-    sequences = rank = 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in open_at:
-                bisect.insort(gaps, gap)
-                open_at[gap] = []
-            open_at[gap].append([first, n])
-
-    for size in sorted(counts, reverse=True):
-        left = counts[size]
-        while left:
-            i = bisect.bisect_left(gaps, size)
-            if i < len(gaps):
-                gap = gaps[i]
-                first, n = open_at[gap].pop(0)
-                if not open_at[gap]:
-                    del open_at[gap]
-                    gaps.pop(i)
-            else:
-                gap, first, n = capacity, sequences, -(-left // (capacity // size))
-                sequences += n
-            each = gap // size  # the updated gap is again the smallest that holds this length
-            full, rest = min(n, left // each), 0
-            if full < n:
-                rest = left - full * each
-            for k in range(each):
-                if full:
-                    runs.append((rank, full, first, capacity - gap + k * size))
-                    rank += full
-            leave(gap - each * size, first, full)
-            if full < n:
-                for k in range(rest):
-                    runs.append((rank, 1, first + full, capacity - gap + k * size))
-                    rank += 1
-                if rest:
-                    leave(gap - rest * size, first + full, 1)
-                    leave(gap, first + full + 1, n - full - 1)
-                else:
-                    leave(gap, first + full, n - full)
-            left -= full * each + rest
-    return runs
-
-
-def pack(found: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFrame:
-    """Rows with a length, with sequence_id and offset: sequences hold `capacity` at most and have no holes."""
-    order = ["__fall__", *[c for c in (key, "piece") if c in found.columns]]
-    rows = cut(found)
-    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
-    runs = best_fit(counts, capacity)
-    table = np.array(runs, np.int64).reshape(-1, 4)
-    plan = found.sparkSession.sparkContext.broadcast(table)  # a few runs a length, whatever the number of rows
-    ranked = numbered(rows.withColumn("__fall__", -F.col("length")), order, "__rank__").drop("__fall__")
-    names = [c for c in ranked.columns if c != "__rank__"]
-    at = ranked.columns.index("__rank__")
-    keep = [i for i in range(len(ranked.columns)) if i != at]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = plan.value
-        for b in batches:
-            rank = b.column(at).to_numpy()
-            run = t[np.searchsorted(t[:, 0], rank, "right") - 1] if len(rank) else t[:0]
-            new = [pa.array(run[:, 2] + rank - run[:, 0]), pa.array(run[:, 3])]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + new, names=[*names, "sequence_id", "offset"])
+    return docs.select(F.col(key).alias(own), F.col(text).cast("string").alias("__text__")).mapInArrow(tidy(run, f"encoder {vocabulary}"), T.StructType(fields))
+
+
+#: Rows of a range that one task sweeps as arrays, about 40 bytes each in some ten arrays.
+RANGE_ROWS = 200_000
+#: Pieces of which a new sequence holds at most this many have a round for each such number.
+FEW = 6
+SWEPT = "part int, place long, piece long, length long, seq long, slot int, gap long"
+
+
+def bracketed(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gaps, pieces) that a stack puts together: places in a sequence in which a gap is pushed and a piece pops one."""
+    height = np.cumsum(np.where(is_gap, 1, -1))
+    level = np.where(is_gap, height, height + 1)
+    order = np.argsort(level, kind="stable")
+    a, b = order[:-1], order[1:]
+    hit = (level[a] == level[b]) & is_gap[a] & ~is_gap[b]  # of one level gaps and pieces take turns
+    return a[hit], b[hit]
+
+
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted range (part, is_gap, id, slot, size): pairs with no place; what is left over with its rank among its kind."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    part, is_gap, ids, slot, size = (c.to_numpy(zero_copy_only=False) for c in pa.Table.from_batches(got).combine_chunks().columns)
+    gaps, pieces = bracketed(is_gap)
+    free = np.ones(len(ids), bool)
+    free[gaps] = free[pieces] = False
+    lone_pieces, lone_gaps = np.flatnonzero(free & ~is_gap), np.flatnonzero(free & is_gap)
+    p, g = np.concatenate([pieces, lone_pieces]), np.concatenate([gaps, lone_gaps])
+    n, m, k = len(pieces), len(lone_pieces), len(lone_gaps)
+    none = lambda n: pa.nulls(n, pa.int64())
+    of_piece = lambda x: pa.chunked_array([pa.array(x[p].astype(np.int64)), none(k)]).combine_chunks()
+    of_gap = lambda x, kind: pa.chunked_array([pa.array(x[gaps].astype(kind)), pa.nulls(m, pa.from_numpy_dtype(kind)), pa.array(x[lone_gaps].astype(kind))]).combine_chunks()
+    rank = pa.chunked_array([none(n), pa.array(np.arange(m)), pa.array(np.arange(k))]).combine_chunks()
+    out = pa.table([pa.array(np.full(n + m + k, part[0], np.int32)), rank, of_piece(ids), of_piece(size), of_gap(ids, np.int64), of_gap(slot, np.int32), of_gap(size, np.int64)], names=[c.split()[0] for c in SWEPT.split(", ")])
+    yield from out.to_batches(max_chunksize=100_000)
+
+
+def by_rank(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]], int]:
+    """The stack over what (part, pieces, gaps) leave over.
+
+    Runs (part, first, other, top): its pieces from rank `first` on take the gaps of the other part, from rank `top` down;
+    (part, first, number): pieces from that rank on find none, numbered over all parts; and how many find none.
+    """
+    stack: list[list[int]] = []
+    runs, alone, number = [], [], 0
+    for part, pieces, gaps in sorted(counts):
+        done = 0
+        while done < pieces and stack:
+            other, left = stack[-1]
+            take = min(left, pieces - done)
+            runs.append((part, done, other, left - 1))
+            done += take
+            stack[-1][1] -= take
+            if take == left:
+                stack.pop()
+        if done < pieces:
+            alone.append((part, done, number))
+            number += pieces - done
+        if gaps:
+            stack.append([part, gaps])
+    return runs, alone, number
+
+
+def routed(runs: list[tuple[int, int, int, int]], alone: list[tuple[int, int, int]]):
+    """Pieces left over (part, place, piece, length) with the part and rank of their gap, or their number among those without."""
+    table = np.array(sorted([(*r, 0) for r in runs] + [(p, first, n, 0, 1) for p, first, n in alone]), np.int64).reshape(-1, 5)
 
-    fields = [ranked.schema[c] for c in names]
-    return ranked.mapInArrow(tidy(place), T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part, place = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()
+            row = np.empty(len(part), np.int64)
+            for x in np.unique(part):  # the last run of the part that begins at or before the place
+                mine, here = np.flatnonzero(table[:, 0] == x), part == x
+                row[here] = mine[np.searchsorted(table[mine, 1], place[here], "right") - 1]
+            t = table[row]
+            after = place - t[:, 1]
+            lone = t[:, 4] == 1
+            gap_part, gap_place = pa.array(t[:, 2].astype(np.int32), mask=lone), pa.array(t[:, 3] - after, mask=lone)
+            yield pa.RecordBatch.from_arrays([gap_part, gap_place, b.column(2), b.column(3), pa.array(t[:, 2] + after, mask=~lone)], names=["part", "place", "piece", "length", "number"])
+
+    return run
+
+
+def pack(found: DataFrame, capacity: int = 2048, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows with a length of 1 to `capacity`, with sequence_id and offset: sequences hold `capacity` at most and have no holes."""
+    spark = found.sparkSession
+    rows = cut(drop_clashing(found, ["sequence_id", "offset"]).withColumn("__piece__", F.monotonically_increasing_id()))
+    pieces = rows.select(F.col("__piece__").alias("piece"), "length")
+    gaps = spark.createDataFrame([], "seq long, gap long")
+    sequences, rounds = 0, []
+    number, tokens, longest, shortest = pieces.agg(F.count("*"), F.sum("length"), F.max("length"), F.min("length")).first()
+    if number and (shortest < 1 or longest > capacity):
+        raise ValueError(f"lengths must lie in 1 to {capacity}")
+    total = tokens
+    while number:
+        each = capacity // longest  # pieces that a new sequence is sure to hold
+        few = each <= FEW
+        edge = capacity // (each + 1) if few else longest // 2
+        now = pieces.where(F.col("length") > edge)
+        slots = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / longest), F.lit(number))).cast("int")
+        offered = gaps.select(F.lit(True).alias("is_gap"), F.col("seq").alias("id"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"), F.col("gap").alias("size"))
+        wanting = now.select(F.lit(False).alias("is_gap"), F.col("piece").alias("id"), F.lit(0).alias("slot"), F.col("length").alias("size"))
+        order = [F.desc("size"), F.desc("is_gap"), F.asc("id"), F.asc("slot")]
+        ranged = offered.unionByName(wanting).repartitionByRange((number + sequences) // range_rows + 1, *order).sortWithinPartitions(*order)
+        swept = cut(ranged.select(F.spark_partition_id().alias("part"), "is_gap", "id", "slot", "size").mapInArrow(tidy(sweep), SWEPT))
+        count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+        lone, spare = F.col("seq").isNull(), F.col("piece").isNull()
+        left = swept.groupBy("part").agg(count(lone), count(spare), count(~lone & ~spare), F.sum("length")).collect()  # a row a partition
+        runs, alone, rest = by_rank([(r[0], r[1], r[2]) for r in left])
+        opening = -(-rest // each)
+        if not few:  # as many as the tokens left need beyond all gaps; if nothing found a gap, as these pieces need
+            needed = -(-(total - sequences * capacity) // capacity)
+            if needed <= 0 and not sum(r[3] for r in left) and not runs:
+                needed = -(-sum(r[4] or 0 for r in left) // capacity)
+            opening = min(opening, max(0, needed))
+        routes = swept.where(lone).select("part", "place", "piece", "length").mapInArrow(tidy(routed(runs, alone)), "part int, place long, piece long, length long, number long")
+        taken = swept.where(spare).select("part", "place", "seq", "slot", "gap").join(routes.where("number is null").select("part", "place", "piece", "length"), ["part", "place"], "left")
+        without = routes.where("number is not null")
+        opened = without.where(F.col("number") < opening * each).select((F.floor(F.col("number") / each) + sequences).alias("seq"), (F.col("number") % each).cast("int").alias("slot"), F.lit(capacity).cast("long").alias("gap"), "piece", "length")
+        columns = ["seq", "slot", "gap", "piece", "length"]
+        every = swept.where(~lone & ~spare).select(columns).unionByName(taken.select(columns)).unionByName(opened)
+        within = Window.partitionBy("seq").orderBy("slot")  # as many rows as a sequence holds pieces at most
+        sums = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        filled = cut(every.withColumn("filled", F.coalesce(F.sum("length").over(sums), F.lit(0))).withColumn("last", F.lead("slot").over(within).isNull()))
+        rounds.append(filled.where("piece is not null").select("piece", F.col("seq").alias("sequence_id"), (capacity - F.col("gap") + F.col("filled") - F.col("length")).alias("offset")))
+        pieces = pieces.where(F.col("length") <= edge)
+        if rest > opening * each:
+            pieces = pieces.unionByName(cut(without.where(F.col("number") >= opening * each).select("piece", "length")))
+        sequences += opening
+        number, longest, shortest = pieces.agg(F.count("*"), F.max("length"), F.min("length")).first()
+        gaps = filled.where("last").select("seq", (F.col("gap") - F.col("filled")).alias("gap")).where(F.col("gap") >= (shortest or capacity))
+    places = functools.reduce(DataFrame.unionByName, rounds, spark.createDataFrame([], "piece long, sequence_id long, offset long")).withColumnRenamed("piece", "__piece__")
+    return rows.join(places, "__piece__").drop("__piece__")

@@ -76,7 +76,8 @@ def permuted(x: Column, n: int, seed: int) -> Column:
     first = feistel_once(x, b, seed)
     steps = F.sequence(F.lit(1), F.lit(400))
     walked = F.aggregate(steps, first, lambda acc, _: F.when(acc < n, acc).otherwise(feistel_once(acc, b, seed)))
-    return F.when(first < n, first).otherwise(walked)
+    place = F.when(first < n, first).otherwise(walked)
+    return F.when(place < n, place).otherwise(F.raise_error(F.lit("a walk of 400 steps found no place")).cast("long"))
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, weight: str | None = None, before: str | None = None) -> DataFrame:

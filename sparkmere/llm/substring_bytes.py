@@ -5,7 +5,7 @@ A byte goes if some 100-byte string that covers it also starts earlier (smaller
 1. Pieces. The minimizer of a 100-byte string is the least of the hashes of its 69 substrings of 32 bytes (the leftmost
    on ties). Equal strings have equal minimizers, so runs of strings with one minimizer, of 100 to 168 bytes, can be
    compared minimizer by minimizer: no match is lost, no piece is long, and pieces that meet are bounded in number.
-2. Pieces meet by minimizer and content hash. Of pieces with equal content all but the earliest go whole: each of their
+2. Pieces meet by minimizer and 128-bit content hash. Of pieces with equal content all but the earliest go whole: each of their
    strings starts earlier too. A minimizer with one content needs no more. This also keeps a passage that a third of all
    documents hold to one piece.
 3. The different contents that share a minimizer, and half of what a match holds around it, become strings of a collection. Its Burrows-Wheeler transform and common
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import sorted_suffixes
-from .common import groups, parts_for, probable_members, strings, tidy, tidy_group, written
+from .common import groups, parts_for, probable_members, strings, text_bytes, tidy, tidy_group, written
 from .exchange import bucket_of, packed, unpacked
 from .hashing import U64, _powers, coverage, mix, runs, sliding_min, span_hashes
 from .substring_words import ENTRIES, FLAGS, MARK, MET, SCAN, batch_id, scan_rows, sources, spans_of, split
@@ -67,7 +67,7 @@ def segments(batch: pa.RecordBatch, batch_bytes: int) -> Iterator[tuple[np.ndarr
 
 
 def gram_minima(data: np.ndarray) -> np.ndarray:
-    """For each start of a 100-byte string: 40 bits of its minimizer's hash above its place. Empty if data is shorter."""
+    """For each start of a 100-byte string: 40 bits of its minimizer's hash above its place, which is what the order needs. Empty if data is shorter."""
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, U64)
@@ -86,6 +86,16 @@ def gram_minima(data: np.ndarray) -> np.ndarray:
     return sliding_min(key, GRAMS)
 
 
+def changes(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Booleans: where one of the keys differs from the entry before; the first entry is one."""
+    out = np.ones(len(sorted_keys[0]), bool)
+    if len(out):
+        out[1:] = False
+    for k in sorted_keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
 def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, row, start in the row, strings) of all pieces, in order."""
     least = gram_minima(data)
@@ -110,7 +120,8 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     nxt = np.append(start[1:], len(least))
     count = np.minimum(nxt, stops[np.searchsorted(stops, start)]) - start
     row = np.searchsorted(offs, start, "right") - 1
-    return least[start] >> U64(24), row, start - offs[row], count
+    spot = (least[start] & _LOW).astype(np.int64)
+    return span_hashes(data, spot, spot + GRAM), row, start - offs[row], count
 
 
 def own_table(batch: int, ids: np.ndarray, marks: np.ndarray, base: np.ndarray, flags: list[np.ndarray]) -> list[tuple[int, int, int, bytes]]:
@@ -127,10 +138,9 @@ def scan_pieces(buckets: int, batch_bytes: int):
                 if not len(least):
                     continue
                 at = start + offs[row]
-                content = span_hashes(data, at, at + count + LENGTH - 1)
-                order = np.lexsort((start + base[row], ids[row], content))
-                k = content[order]
-                first = np.concatenate(([True], k[1:] != k[:-1]))
+                content, more = (span_hashes(data, at, at + count + LENGTH - 1, lane) for lane in (0, 1))
+                order = np.lexsort((start + base[row], ids[row], more, content))
+                first = changes(content[order], more[order])
                 sent = np.sort(order[first])
                 lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
                 # a repeated row (same id, same place) is not later than itself
@@ -140,8 +150,7 @@ def scan_pieces(buckets: int, batch_bytes: int):
                 batch = batch_id(ids, marks + base)
                 out = own_table(batch, ids, marks, base, narrow(gone))
                 key = least[sent]
-                low, high = (key & U64(0xFFFFFFFF)).astype(np.uint32), (key >> U64(32)).astype(np.uint8)
-                cols = [low, high, content[sent], ids[row[sent]], start[sent] + base[row[sent]], *narrow(sent)]
+                cols = [key, content[sent], more[sent], ids[row[sent]], start[sent] + base[row[sent]], *narrow(sent)]
                 out += [(x, batch, ENTRIES, p) for x, p in zip(*packed(cols, bucket_of(mix(key), buckets), buckets), strict=True)]
                 yield scan_rows(out, buckets)
 
@@ -150,22 +159,20 @@ def scan_pieces(buckets: int, batch_bytes: int):
 
 def meet_pieces(table: pa.Table, group: int = GROUP) -> pa.Table:
     batches, payloads, passed = split(table)
-    low, high, content, doc, where, row, start, count = unpacked(payloads, ["u4", "u1", "u8", "i8", "i8", "u2", "u4", "u1"])
-    key = low.astype(U64) | high.astype(U64) << U64(32)
+    key, content, more, doc, where, row, start, count = unpacked(payloads, ["u8", "u8", "u8", "i8", "i8", "u2", "u4", "u1"])
     source = sources(payloads)
-    order = np.lexsort((where, doc, content, key))
+    order = np.lexsort((where, doc, more, content, key))
     out = list(passed)
     if len(order):
-        k, c = key[order], content[order]
-        new_key = np.concatenate(([True], k[1:] != k[:-1]))
-        first = new_key | np.concatenate(([True], c[1:] != c[:-1]))
+        new_key = changes(key[order])
+        first = changes(key[order], content[order], more[order])
         lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
         later = (doc[order] != doc[lead]) | (where[order] != where[lead])
         contents = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_key))
         contents = np.repeat(contents, np.diff(np.append(np.flatnonzero(new_key), len(order))))
         gone, cand = order[later], order[first & (contents > 1)]
         bands = np.minimum(255, -(-contents[first & (contents > 1)] // group)).astype(np.uint8)
-        for kind, at, cols in ((FLAGS, gone, [row, start, count]), (CANDIDATES, cand, [row, start, count, low, high])):
+        for kind, at, cols in ((FLAGS, gone, [row, start, count]), (CANDIDATES, cand, [row, start, count, key])):
             if len(at):
                 extra = [bands] if kind == CANDIDATES else []
                 ids, parts = packed([x[at] for x in cols] + extra, source[at], len(batches))
@@ -182,7 +189,7 @@ def by_document(table: pa.Table) -> pa.Table:
     kinds, payloads = table["kind"].to_pylist(), table["payload"].to_pylist()
     ids, marks, base = unpacked([p for k, p in zip(kinds, payloads, strict=True) if k == TABLE][:1], ["i8", "i8", "i8"])
     row, start, count = unpacked([p for k, p in zip(kinds, payloads, strict=True) if k == FLAGS], ["u2", "u4", "u1"])
-    crow, cstart, ccount, low, high, bands = unpacked([p for k, p in zip(kinds, payloads, strict=True) if k == CANDIDATES], ["u2", "u4", "u1", "u4", "u1", "u1"])
+    crow, cstart, ccount, ckey, bands = unpacked([p for k, p in zip(kinds, payloads, strict=True) if k == CANDIDATES], ["u2", "u4", "u1", "u8", "u1"])
     order, corder = np.argsort(row, kind="stable"), np.argsort(crow, kind="stable")
     edge = np.searchsorted(row[order], np.arange(len(ids) + 1))
     cedge = np.searchsorted(crow[corder], np.arange(len(ids) + 1))
@@ -195,8 +202,7 @@ def by_document(table: pa.Table) -> pa.Table:
             e = s + count[mine] + LENGTH - 1
             gone = (np.stack(runs(coverage(int(e.max()), s, e))) + base[r]).astype(np.uint32).tobytes()
         if len(cands):
-            key = low[cands].astype(np.int64) | high[cands].astype(np.int64) << 32
-            cand = np.stack([cstart[cands] + base[r], ccount[cands].astype(np.int64), key, bands[cands].astype(np.int64)]).astype(np.int64).tobytes()
+            cand = np.stack([cstart[cands] + base[r], ccount[cands].astype(np.int64), ckey[cands].view(np.int64), bands[cands].astype(np.int64)]).astype(np.int64).tobytes()
         for x, v in zip(out, (int(ids[r]), int(marks[r]), gone, cand), strict=True):
             x.append(v)
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["doc", "mark", "gone", "cand"])
@@ -219,7 +225,7 @@ def send_strings(buckets: int):
                 for p, n, k, m in zip(place.tolist(), count.tolist(), key.tolist(), bands.tolist(), strict=True):
                     subs = [(p, n, k)] if m <= 1 else list(cut_by_band(text, p, n, k, m))
                     for p2, n2, k2 in subs:
-                        rows, parts = out.setdefault(int(mix(np.array([k2], np.uint64))[0]) % buckets, ([], []))
+                        rows, parts = out.setdefault(int(mix(np.array([k2], np.int64).view(U64))[0]) % buckets, ([], []))
                         rows.append((k2, doc, mark, p2, n2 + LENGTH - 1))
                         parts.append(text[p2 : p2 + n2 + LENGTH - 1].tobytes())
             ids = sorted(out)
@@ -330,7 +336,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
     """The key, n_bytes, removed (maximal runs [first, end) of bytes), kept_sha256, and kept (the remaining bytes)."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body"))
-    buckets = parts_for(docs)
+    buckets = parts_for(docs, size=text_bytes(docs, text))
     ids = ["doc", "mark"]
     scan = rows.where("doc is not null").mapInArrow(tidy(scan_pieces(buckets, batch_bytes)), SCAN)
     met = written(scan.groupBy("bucket").applyInArrow(tidy_group(functools.partial(meet_pieces, group=group)), MET).groupBy("batch").applyInArrow(tidy_group(by_document), PIECES))

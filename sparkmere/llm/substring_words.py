@@ -7,7 +7,7 @@ two places i and j some shift l < 7 makes both i+l and j+l anchors. So two equal
 share an aligned anchor whose 7 words lie within both. Only 7-grams at anchors are hashed and met (3 of 7 places).
 
 1. Anchors meet by hash. A window can repeat only if one of the 3 anchors in its first 7 places is found more than once.
-2. Such windows extend from their anchors to all 13 words: their full hashes meet, with the ids of their documents, and
+2. Such windows extend from their anchors to all 13 words: their full hashes, of 128 bits, meet, with the ids of their documents, and
    every window that isn't in its smallest document goes.
 
 Hashes travel as arrays (see exchange). Every batch passes on one entry of a hash that it holds more than once, so a
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, parts_for, probable_members, strings, tidy, tidy_group, written
+from .common import groups, parts_for, probable_members, strings, text_bytes, tidy, tidy_group, written
 from .exchange import bucket_of, packed, unpacked
 from .hashing import byte_class, coverage, gram_hashes, gram_hashes_at, runs, span_hashes, word_bounds
 
@@ -110,8 +110,7 @@ def scan_anchors(buckets: int, batch_bytes: int):
                 place32 = np.concatenate([place[once], np.zeros(len(lead), np.int64)]).astype(np.uint32)
                 batch = batch_id(ids, marks)
                 out = table_of(batch, ids, marks, np.diff(before), row[again], place[again])
-                low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)
-                out += [(k, batch, ENTRIES, p) for k, p in zip(*packed([low, high, row16, place32], bucket_of(h, buckets), buckets), strict=True)]
+                out += [(k, batch, ENTRIES, p) for k, p in zip(*packed([h, row16, place32], bucket_of(h, buckets), buckets), strict=True)]
                 yield scan_rows(out, buckets)
 
     return run
@@ -140,8 +139,8 @@ def sources(payloads: list[bytes]) -> np.ndarray:
 
 def meet_anchors(table: pa.Table) -> pa.Table:
     batches, payloads, passed = split(table)
-    low, high, row, place = unpacked(payloads, ["u4", "u1", "u2", "u4"])
-    order, _, size = by_hash(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
+    h, row, place = unpacked(payloads, ["u8", "u2", "u4"])
+    order, _, size = by_hash(h)
     hit = np.sort(order[np.repeat(size > 1, size)])
     hit = hit[row[hit] != MARK]
     return flags_out(batches, sources(payloads)[hit], row[hit], place[hit], passed)
@@ -194,31 +193,36 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(total)
 
 
+def after_the_least(h: np.ndarray, more: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, booleans in that order): which entries have a larger document than another of the same 128 bits."""
+    order = np.lexsort((doc, more, h))
+    a, b = h[order], more[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    least = doc[order[np.flatnonzero(first)[np.cumsum(first) - 1]]] if len(order) else doc
+    return order, doc[order] > least
+
+
 def scan_windows(buckets: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = b.column(3)
             for ids, marks, data, offs, at in slices(b, 0, 1, 2, batch_bytes):
                 starts, ends, before = word_bounds(data, offs, _TEXT)
-                words = span_hashes(data, starts, ends)
                 places, rows = [], []
                 for r in range(len(ids)):
                     p = ranges(*spans_of(found[at.start + r].as_py()))
                     places.append(p)
                     rows.append(np.full(len(p), r))
                 place, row = np.concatenate(places), np.concatenate(rows)
-                h = gram_hashes_at(words, place + before[row], WINDOW)
+                h, more = (gram_hashes_at(span_hashes(data, starts, ends, lane), place + before[row], WINDOW) for lane in (0, 1))
                 doc = ids[row]
-                order = np.lexsort((doc, h))
-                k = h[order]
-                starts_ = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-                least = np.repeat(doc[order[starts_]], np.diff(np.append(starts_, len(k))))
-                later = doc[order] > least
+                order, later = after_the_least(h, more, doc)
                 gone, sent = np.sort(order[later]), np.sort(order[~later])
                 batch = batch_id(ids, marks)
                 out = table_of(batch, ids, marks, np.diff(before), row[gone], place[gone])
                 hs = h[sent]
-                out += [(x, batch, ENTRIES, p) for x, p in zip(*packed([hs, doc[sent], row[sent].astype(np.uint16), place[sent].astype(np.uint32)], bucket_of(hs, buckets), buckets), strict=True)]
+                out += [(x, batch, ENTRIES, p) for x, p in zip(*packed([hs, more[sent], doc[sent], row[sent].astype(np.uint16), place[sent].astype(np.uint32)], bucket_of(hs, buckets), buckets), strict=True)]
                 yield scan_rows(out, buckets)
 
     return run
@@ -226,12 +230,9 @@ def scan_windows(buckets: int, batch_bytes: int):
 
 def meet_windows(table: pa.Table) -> pa.Table:
     batches, payloads, passed = split(table)
-    h, doc, row, place = unpacked(payloads, ["u8", "i8", "u2", "u4"])
-    order = np.lexsort((doc, h))
-    k = h[order]
-    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    least = np.repeat(doc[order[starts]], np.diff(np.append(starts, len(k))))
-    hit = np.sort(order[doc[order] > least])
+    h, more, doc, row, place = unpacked(payloads, ["u8", "u8", "i8", "u2", "u4"])
+    order, later = after_the_least(h, more, doc)
+    hit = np.sort(order[later])
     return flags_out(batches, sources(payloads)[hit], row[hit], place[hit], passed)
 
 
@@ -259,7 +260,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
     """The key, n_words, removed (runs [first, end) of words), kept_sha256, and kept_text: the kept words joined by a space."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body"))
-    buckets = parts_for(docs)
+    buckets = parts_for(docs, size=text_bytes(docs, text))
     ids = ["doc", "mark"]
     cand = written(meeting(rows.where("doc is not null").mapInArrow(tidy(scan_anchors(buckets, batch_bytes)), SCAN), meet_anchors, candidate_windows))
     may, _ = probable_members(rows.where("doc is not null"), cand, ids)
