@@ -13,7 +13,8 @@ code point (what precedes it on its path), and the intervals of the stream that
 branches, and its own branch before it. The loss mask is the texts of assistant turns.
 
 No step gathers a tree, a branch or a conversation: turns stream in order of conversation, stream offsets are running
-sums over a range-sorted table of branches, and read-back joins single turns, salted where a branch is on many paths.
+sums over a range-sorted table of branches, and read-back joins single turns. A turn that very many conversations share, a
+branch that very many leave and one that is on very many paths are salted in every join.
 
 Defined cases: null text is empty, null role is an empty role; rows without conversation id are left out; equal turns of a
 conversation are ordered by role, then text; equal conversations share all nodes; a conversation that is the beginning of
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for, tidy, written
+from .common import SALT, Spread, cut, parts_for, tidy, written
 from .sharding import numbered
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
@@ -86,8 +87,8 @@ def turns_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["conv", "idx", "node", "pos", "chars", "body_from", "body_to", "loss", "piece"])
 
 
-def prefix_trees(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves).
+def prefix_trees(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", per_salt: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaves). A node or branch that more than per_salt rows look up is salted.
 
     nodes: branch, idx (turn from 0 on its path), start (place in the stream), chars, position (id of its first code
     point), attends (intervals [start, end) of the stream before it on its path), loss_from and loss_to (mask within the
@@ -100,8 +101,8 @@ def prefix_trees(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     order = ["conv", "turn", "role", "text"]
     turns = written(rows.repartition(parts, "conv").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]).select("conv", "role", "text").mapInArrow(tidy(turns_in_order), TURNS))
 
-    owners = turns.groupBy("node").agg(F.min("conv").alias("owner"))
-    owned = turns.select("conv", "idx", "node", "pos", "chars").join(owners, "node")
+    owners = cut(turns.groupBy("node").agg(F.min("conv").alias("owner"), F.count("*").alias("uses")))
+    owned = Spread(owners, "node", "uses", per_salt).join(turns.select("conv", "idx", "node", "chars"), owners.select("node", "owner"), "conv")
     own = F.col("owner") == F.col("conv")
     per = cut(
         owned.groupBy("conv").agg(
@@ -116,11 +117,24 @@ def prefix_trees(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     branches = per.where("`from` is not null").select(
         F.col("conv").alias("branch"), F.col("from"), (F.col("chars") - F.col("own_chars")).alias("position"), "own_chars", F.col("shared.owner").alias("parent"), F.col("shared.idx").alias("leaves_at")
     )
-    # ancestors, from the root down, by doubling: everyone's list is put after the list of the branch at its head
-    up = cut(branches.select("branch", F.col("parent").alias("head"), F.when(F.col("parent").isNotNull(), F.array(F.struct(F.col("parent").alias("branch"), F.col("leaves_at").alias("last")))).otherwise(F.expr("cast(array() as array<struct<branch:bigint,last:int>>)")).alias("above")))
+
+    def joined(many: DataFrame, one: DataFrame, key: str, how: str = "left") -> DataFrame:
+        """one has a row for each key; where many rows of the other side share a key, they are salted. Rows without key,
+        such as the branches that leave the root, aren't shuffled."""
+        known = many.where(F.col(key).isNotNull())
+        uses = cut(known.groupBy(key).agg(F.count("*").alias("uses")))
+        out = Spread(uses, key, "uses", per_salt).join(known, one, "branch", how=how)
+        return out.unionByName(many.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+    # ancestors, from the root down, by doubling: everyone's list is put after the list of the branch at its head. A step
+    # ends where the next branch on the way begins, so its end needs no look-up.
+    of_parent = branches.select(F.col("branch").alias("parent"), F.col("from").alias("parent_from"), F.col("position").alias("parent_position"))
+    step = F.struct(F.col("parent").alias("branch"), F.col("parent_from").alias("from"), F.col("parent_position").alias("position"), F.col("leaves_at").alias("last"), F.col("position").alias("until"))
+    no_steps = F.expr("cast(array() as array<struct<branch:bigint,from:int,position:bigint,last:int,until:bigint>>)")
+    up = cut(joined(branches, of_parent, "parent").select("branch", F.col("parent").alias("head"), F.when(F.col("parent").isNotNull(), F.array(step)).otherwise(no_steps).alias("above")))
     while up.where("head is not null").limit(1).count():
         head = up.select(F.col("branch").alias("head"), F.col("head").alias("higher"), F.col("above").alias("more"))
-        up = cut(up.join(head, "head", "left").select("branch", F.col("higher").alias("head"), F.when(F.col("more").isNotNull(), F.concat("more", "above")).otherwise(F.col("above")).alias("above")))
+        up = cut(joined(up, head, "head").select("branch", F.col("higher").alias("head"), F.when(F.col("more").isNotNull(), F.concat("more", "above")).otherwise(F.col("above")).alias("above")))
     # depth-first order: the way down as (minus the turn at which it leaves, branch); arrays sort a beginning first
     way = F.transform(
         F.sequence(F.lit(0), F.size("above")),
@@ -130,11 +144,10 @@ def prefix_trees(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     placed = cut(numbered(placed, ["way"], "stream_order", "own_chars", "start").drop("way", "stream_order"))
 
     # where each ancestor's part lies in the stream
-    steps = placed.select("branch", F.posexplode("above").alias("i", "step")).select("branch", "i", F.col("step.branch").alias("above"), F.col("step.last").alias("last"))
-    ends = steps.join(turns.select(F.col("conv").alias("above"), F.col("idx").alias("last"), (F.col("pos") + F.col("chars")).alias("until")), ["above", "last"])
-    spots = ends.join(placed.select(F.col("branch").alias("above"), F.col("start").alias("above_start"), F.col("position").alias("above_position"), F.col("from").alias("above_from")), "above")
-    interval = F.struct("i", F.col("above_start").alias("start"), (F.col("above_start") + F.col("until") - F.col("above_position")).alias("end"))
-    seen = spots.groupBy("branch").agg(F.array_sort(F.collect_list(interval)).alias("seen"), F.array_sort(F.collect_list(F.struct("i", F.col("above").alias("branch"), F.col("above_from").alias("from"), "last"))).alias("path"))
+    steps = placed.select("branch", F.posexplode("above").alias("i", "step")).select("branch", "i", F.col("step.branch").alias("above"), (F.col("step.until") - F.col("step.position")).alias("size"))
+    spots = joined(cut(steps), placed.select(F.col("branch").alias("above"), F.col("start").alias("above_start")), "above", "inner")
+    interval = F.struct("i", F.col("above_start").alias("start"), (F.col("above_start") + F.col("size")).alias("end"))
+    seen = spots.groupBy("branch").agg(F.array_sort(F.collect_list(interval)).alias("seen"))
     full = cut(placed.join(seen, "branch", "left"))
 
     mine = turns.join(full.select(F.col("branch").alias("conv"), F.col("from"), F.col("start").alias("branch_start"), F.col("position").alias("branch_position"), "seen"), "conv").where(F.col("idx") >= F.col("from"))
@@ -145,10 +158,11 @@ def prefix_trees(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
         F.when(F.col("idx") > F.col("from"), F.concat(before, F.array(F.struct(F.col("branch_start").alias("start"), start.alias("end"))))).otherwise(before).alias("attends"),
         F.when(F.col("loss"), F.col("body_from")).alias("loss_from"), F.when(F.col("loss"), F.col("body_to")).alias("loss_to"), "piece",
     )
-    bare = lambda a: F.transform(F.coalesce(a, F.expr("array()")), lambda s: F.struct(s["branch"].alias("branch"), s["from"].alias("from"), s["last"].alias("last")))
-    ends_in = per.select("conv", F.when(F.col("from").isNotNull(), F.col("conv")).otherwise(F.col("shared.owner")).alias("branch"), "last", (F.col("last") + 1).alias("turns"), "chars")
-    paths = full.select("branch", "from", bare(F.col("path")).alias("path"))
-    leaves = ends_in.join(paths, "branch").select("conv", "branch", "last", "turns", "chars", F.concat("path", F.array(F.struct("branch", "from", "last"))).alias("path"))
+    ends_in = cut(per.select("conv", F.when(F.col("from").isNotNull(), F.col("conv")).otherwise(F.col("shared.owner")).alias("branch"), "last", (F.col("last") + 1).alias("turns"), "chars"))
+    bare = F.transform("above", lambda s: F.struct(s["branch"].alias("branch"), s["from"].alias("from"), s["last"].alias("last")))
+    paths = full.select("branch", "from", bare.alias("path"))
+    ends = Spread(cut(ends_in.groupBy("branch").agg(F.count("*").alias("uses"))), "branch", "uses", per_salt).join(ends_in, paths, "conv")
+    leaves = ends.select("conv", "branch", "last", "turns", "chars", F.concat("path", F.array(F.struct("branch", "from", "last"))).alias("path"))
     return nodes, leaves
 
 
@@ -187,14 +201,12 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([done(state)])
 
 
-def read_back(nodes: DataFrame, leaves: DataFrame, per_salt: int = 500) -> DataFrame:
+def read_back(nodes: DataFrame, leaves: DataFrame, per_salt: int = 1000) -> DataFrame:
     """Each conversation's turns, found through its path and read from the emitted nodes."""
     refs = leaves.select("conv", F.explode("path").alias("p")).select("conv", F.col("p.branch").alias("branch"), F.explode(F.sequence("p.from", "p.last")).alias("idx"))
-    uses = leaves.select(F.explode("path.branch").alias("branch")).groupBy("branch").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("salts"))
-    busy = cut(uses.where("salts > 1"))
-    salts = F.coalesce("salts", F.lit(1))
-    spread = nodes.select("branch", "idx", "piece", "loss_from", "loss_to").join(busy, "branch", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    asked = refs.join(busy, "branch", "left").withColumn("salt", F.pmod(F.xxhash64("conv"), salts).cast("int")).drop("salts")
-    found = asked.join(spread, ["branch", "idx", "salt"]).select("conv", "idx", "piece", "loss_from", "loss_to")
+    uses = cut(leaves.select(F.explode("path.branch").alias("branch")).groupBy("branch").agg(F.count("*").alias("uses")))
+    spread = Spread(uses, "branch", "uses", per_salt)
+    asked, there = spread.salted(refs, "conv"), spread.copied(nodes.select("branch", "idx", "piece", "loss_from", "loss_to"))
+    found = asked.join(there, ["branch", "idx", SALT]).select("conv", "idx", "piece", "loss_from", "loss_to")
     parts = parts_for(leaves)
     return found.repartition(parts, "conv").sortWithinPartitions("conv", "idx").select("conv", "piece", "loss_from", "loss_to").mapInArrow(tidy(digests), READ)

@@ -173,14 +173,15 @@ def annotate(df: DataFrame, needs: list[str], adds: T.StructType, make: Callable
 
     names = [f.name for f in adds.fields]
     keep = drop_clashing(df, names)
-    tags = [f"__need{i}__" for i in range(len(needs))]
-    sent = df.select(*[F.col(f"`{c}`") for c in keep.columns], *[F.col(f"`{c}`").alias(t) for c, t in zip(needs, tags, strict=True) if c not in keep.columns])
-    at = [c if c in keep.columns else t for c, t in zip(needs, tags, strict=True)]
-    order = [sent.columns.index(c) for c in at]
     width = len(keep.columns)
-    schema = T.StructType([*keep.schema.fields, *adds.fields])
+    tags = [f"__c{i}__" for i in range(width + len(needs))]  # names with dots can't travel
+    sent = df.select(*[F.col(f"`{c}`").alias(t) for c, t in zip([*keep.columns, *needs], tags, strict=True)])
+    order = [keep.columns.index(c) if c in keep.columns else width + i for i, c in enumerate(needs)]
+    sent = sent.select(*tags[:width], *[tags[i] for i in order if i >= width])
+    order = [sent.columns.index(tags[i]) for i in order]
+    schema = T.StructType([*sent.schema.fields[:width], *adds.fields])
     kinds = [to_arrow_type(f.dataType) for f in adds.fields]
-    kept_names = list(keep.columns)
+    kept_names = tags[:width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -190,7 +191,8 @@ def annotate(df: DataFrame, needs: list[str], adds: T.StructType, make: Callable
                 new = [a.cast(k) if a.type != k else a for a, k in zip(new, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(width)] + new, names=[*kept_names, *names])
 
-    return sent.mapInArrow(tidy(run), schema)
+    out = sent.mapInArrow(tidy(run), schema)
+    return out.select(*[F.col(t).alias(c) for t, c in zip(kept_names, keep.columns, strict=True)], *names)
 
 
 def probable_members(rows: DataFrame, ids: DataFrame, by: list[str], most_bits: int = 27) -> tuple[DataFrame, DataFrame]:

@@ -101,26 +101,30 @@ def fit(sample: list[tuple[str, bytes]], landmarks_per_lang: int = 32, ridge: fl
 class Scorer:
     def __init__(self, model: Model, batch: int = 64):
         self.model, self.batch = model, batch
-        self.landmarks = np.ascontiguousarray((model.landmarks * model.scale[:, None]).T.astype(np.float32))
+        self.landmarks = np.ascontiguousarray(model.landmarks.T.astype(np.float32))
+        self.weights = model.scale.astype(np.float64)[:, None] * model.weights.astype(np.float64)
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        m, names, scores = self.model, [], []
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Labels, scores, and the shares of the texts' n-grams that occur in some landmark."""
+        m, names, scores, shares = self.model, [], [], []
         for at in range(0, len(texts), self.batch):
             part = texts[at : at + self.batch]
             x = np.zeros((len(part), len(m.places)), np.float32)
-            size, known = np.ones(len(part), np.float32), np.zeros(len(part), bool)
+            size, known = np.ones(len(part)), np.zeros(len(part), bool)
             for i, t in enumerate(part):
                 if t:
                     row = np.zeros(PLACES, bool)
                     known[i] = presence(t, row)
                     size[i] = max(1, np.count_nonzero(row))
                     x[i] = row[m.places]
-            f = ((x @ self.landmarks) / np.sqrt(size)[:, None]) @ m.weights
+            # the first product counts, so it is exact; what the second rounds is cut off, whatever rows share the batch
+            f = np.round(((x @ self.landmarks).astype(np.float64) / np.sqrt(size)[:, None]) @ self.weights, 9)
             best = f.argmax(axis=1)
             value = np.clip((f[np.arange(len(part)), best] + 1) / 2, 0, 1)
             names += [m.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             scores.append(np.where(known, value, 0.0))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+            shares.append(np.where(known, x.sum(axis=1) / size, 0.0))
+        return names, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(shares) if shares else np.zeros(0)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -165,11 +169,12 @@ def train(docs: DataFrame, per_lang: int = 300, landmarks_per_lang: int = 32, ke
     return fit(sample, landmarks_per_lang)
 
 
-RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_share", T.DoubleType())])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score. The model's size is bounded by its parameters, so it is broadcast."""
+    """docs with lang_pred, lang_score, and lang_share: which share of the text's n-grams some landmark has, which is low for
+    texts of a language or script that no label stands for. The model's size is bounded by its parameters, so it is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -177,13 +182,14 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
         def work(columns: list[pa.Array]) -> list[pa.Array]:
             if scorer is None:
-                return [pa.array([UNKNOWN] * len(columns[0])), pa.array([0.0] * len(columns[0]))]
-            names, scores = [], []
+                return [pa.array([UNKNOWN] * len(columns[0])), pa.array([0.0] * len(columns[0])), pa.array([0.0] * len(columns[0]))]
+            names, scores, shares = [], [], []
             for at in range(0, len(columns[0]), scorer.batch):
-                n, s = scorer.score(columns[0][at : at + scorer.batch].to_pylist())
+                n, s, c = scorer.score(columns[0][at : at + scorer.batch].to_pylist())
                 names += n
                 scores.append(s)
-            return [pa.array(names, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
+                shares.append(c)
+            return [pa.array(names, pa.string()), pa.array(np.concatenate(scores), pa.float64()), pa.array(np.concatenate(shares), pa.float64())]
 
         return work
 

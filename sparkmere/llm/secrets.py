@@ -110,7 +110,13 @@ class Scanner:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        found += [(a, 3, b) for a, b in merged if not any(s <= a and b <= e for s, e in base)]
+        at = far = 0  # far: the furthest end of the base spans that start at or before a
+        for a, b in merged:
+            while at < len(base) and base[at][0] <= a:
+                far = max(far, base[at][1])
+                at += 1
+            if b > far:
+                found.append((a, 3, b))
         return sorted(found)
 
 
@@ -155,5 +161,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", chars: s
         return work
 
     order = docs.columns
-    done = annotate(docs, [text], T.StructType([T.StructField(text, T.StringType())]), make).select(*order)
+    done = annotate(docs, [text], T.StructType([T.StructField(text, T.StringType())]), make).select(*[F.col(f"`{c}`") for c in order])
     return done if chars is None else done.withColumn(chars, F.char_length(text).cast(docs.schema[chars].dataType))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -111,3 +112,30 @@ def base_secrets(text: str | None) -> list[tuple[int, str, int]]:
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
     return [(s, ("assign", "access", "hex")[k], e) for s, k, e in sorted(found)]
+
+
+def entropy_spans(text: str | None, base: list[tuple[int, str, int]], classes: dict, allow: tuple[str, ...]) -> list[tuple[int, str, int]]:
+    """Windows counted anew at each place, marked character by character."""
+    text = text or ""
+    hot = [False] * (len(text) + 1)
+    for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+        if any(re.fullmatch(a, m[0]) for a in allow):
+            continue
+        for chars, size, bits in classes.values():
+            for run in re.finditer(f"[{chars}]+", m[0]):
+                if len(run[0]) < size or any(re.fullmatch(a, run[0]) for a in allow):
+                    continue
+                for i in range(len(run[0]) - size + 1):
+                    counts = Counter(run[0][i : i + size])
+                    if -sum(c / size * math.log2(c / size) for c in counts.values()) >= bits - 1e-9:
+                        at = m.start() + run.start() + i
+                        hot[at : at + size] = [True] * size
+    out, start = [], None
+    for i, h in enumerate(hot):
+        if h and start is None:
+            start = i
+        if not h and start is not None:
+            if not any(s <= start and i <= e for s, _, e in base):
+                out.append((start, "entropy", i))
+            start = None
+    return out

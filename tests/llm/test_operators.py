@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkmere.llm import bwt, chat, decontaminate, kdtree, langid, lsh_forest, packing, queries, secrets, sharding, substring_bytes, substring_words
 from sparkmere.llm.components import components
-from sparkmere.llm.hashing import inside, sliding_min
+from sparkmere.llm.hashing import equal_spans, inside, sliding_min, span_hashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,7 +72,124 @@ def test_kernel_presence_is_the_same_in_parts(monkeypatch):
     assert (whole == parts).all() and whole.sum() > 100
 
 
+def test_nystroem_over_all_rows_is_kernel_ridge_regression(spark):
+    """With every row a landmark the solution must be that of the plain kernel: alpha = (B K + l n I)^-1 B y."""
+    rows_ = [r for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").orderBy("doc_id").limit(60).collect() if any(c.isalpha() for c in r["text"] or "")]
+    sets, sample = [], []
+    for r in rows_:
+        row = np.zeros(langid.PLACES, bool)
+        langid.presence(r["text"], row)
+        sets.append(set(np.flatnonzero(row).tolist()))
+        sample.append((r["lang"], np.packbits(row).tobytes()))
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    langs = sorted({lang for lang, _ in sample})
+    y = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _ in sample])
+    weight = np.array([len(sample) / (len(langs) * sum(x == lang for x, _ in sample)) for lang, _ in sample])
+    plain = k @ np.linalg.solve(weight[:, None] * k + 1e-3 * len(sample) * np.eye(len(sample)), weight[:, None] * y)
+    names, scores, shares = langid.Scorer(langid.fit(sample, landmarks_per_lang=1000)).score([r["text"] for r in rows_])
+    assert names == [langs[i] for i in plain.argmax(axis=1)] and np.allclose(scores, np.clip((plain.max(axis=1) + 1) / 2, 0, 1), atol=2e-3)
+    assert np.allclose(shares, 1)
+
+
+def test_language_ties_and_repeated_rows(spark, docs):
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"), per_lang=20, landmarks_per_lang=4)
+    flat = langid.Model(model.langs, model.places, model.landmarks, model.scale, np.zeros_like(model.weights))
+    twice = docs.unionByName(docs)
+    got = rows(langid.predict(twice, flat).where("lang_score > 0"), "lang_pred", "lang_score")
+    assert got and set(got) == {(model.langs[0], 0.5)}  # all labels tie: the first in order
+    got = Counter(rows(langid.predict(twice, model), "doc_id", "lang_pred", "lang_score"))
+    assert set(got.values()) == {2}
+
+
 # --- 2
+def morse(n, letters):
+    """The Thue-Morse word, on which polynomial hashes modulo powers of two collide with its complement."""
+    word = "0"
+    while len(word) < n:
+        word += word.translate({48: 49, 49: 48})
+    return word[:n].translate({48: letters[0], 49: letters[1]})
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_defeat_polynomial_hashes(spark, n):
+    """Operators 2, 5, 7 and 10 over two texts that differ only by such a word and its complement."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    a, b, rest = morse(n, "ab"), morse(n, "ba"), " ".join(f"w{i}" for i in range(12))
+    table = [(1, a), (2, b), (3, f"{a} {rest}"), (4, f"{b} {rest}")]
+    df = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    assert {r[0]: r[1:] for r in rows(lsh_forest.near_duplicates(df), "doc_id", "class_id", "copy_id", "n_links")} == brute.near(table)
+    got = {r[0]: (r[1], sum(e - s for s, e in r[2]), r[3]) for r in rows(substring_words.deduplicated(df, with_text=False), "doc_id", "n_words", "removed", "kept_sha256")}
+    assert got == brute.substring_words(table)
+    if n <= 1024:
+        got = {r[0]: (r[1], sum(e - s for s, e in r[2]), len(r[2]), r[3]) for r in rows(substring_bytes.deduplicated(df, with_bytes=False), "doc_id", "n_bytes", "removed", "kept_sha256")}
+        assert got == brute.substring_bytes(table)
+    tokenizer, ids = Tokenizer.from_file(path), defaultdict(list)
+    for i, _, some in sorted(rows(packing.pieces(df, path, with_ids=True), "doc_id", "piece", "ids")):
+        ids[i] += some
+    assert all(ids[i] == tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in table)
+
+
+def test_span_hashes_and_equal_spans():
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    a, b, size = (rng.integers(0, 2000, 3000), rng.integers(0, 2000, 3000), rng.integers(0, 700, 3000))
+    size[:2000] %= 12
+    a[::7] = b[::7]
+    plain = [data[x : x + n].tobytes() == data[y : y + n].tobytes() for x, y, n in zip(a, b, size, strict=True)]
+    assert equal_spans(data, a, b, size).tolist() == plain
+    for lane in (0, 1):
+        h, g = (span_hashes(data, x, x + size, lane) for x in (a, b))
+        assert (h == g).tolist() == plain
+        by_bytes = {data[x : x + n].tobytes(): int(v) for x, n, v in zip(a, size, h, strict=True)}
+        assert len(set(by_bytes.values())) == len(by_bytes)
+
+
+def test_recall_of_shortened_prefixes(spark):
+    """Signature minima drawn for pairs at the threshold: the share that some tree of the forest brings together."""
+    rng = np.random.default_rng(1)
+    shortest, hashes, met, pairs = lsh_forest.prefix_depth(0.8, 0.9995), lsh_forest.TREES * lsh_forest.DEPTH, 0, 4000
+    for _ in range(pairs):
+        same = rng.random(hashes) < 0.8
+        x = rng.integers(0, 1 << 31, hashes)
+        y = np.where(same, x, x + 1)
+        for t in range(lsh_forest.TREES):
+            at = slice(t * lsh_forest.DEPTH, (t + 1) * lsh_forest.DEPTH)
+            if lsh_forest.tries(np.stack([x[at], y[at]]).astype(np.uint32), shortest)[1]:
+                met += 1
+                break
+    assert met / pairs > 0.998
+
+
+def test_tries_hold_every_shared_prefix():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        x = rng.integers(0, 3, (int(rng.integers(2, 40)), 8)).astype(np.uint32)
+        order, levels = lsh_forest.tries(x, 3)
+        assert [lv[0] for lv in levels] == sorted({lv[0] for lv in levels}, reverse=True)
+        found = {}
+        for level, starts, ends, child in levels:
+            for s, e in zip(starts, ends, strict=True):
+                for i in range(s, e):
+                    for j in range(i + 1, e):
+                        if child[i] != child[j]:
+                            found[frozenset((order[i], order[j]))] = level
+        plain = {}
+        for i in range(len(x)):
+            for j in range(i):
+                n = next((d for d in range(8) if x[i, d] != x[j, d]), 8)
+                if n >= 3:
+                    plain[frozenset((i, j))] = n
+        assert found == plain
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(30)) for c in "tu")
+    df = spark.createDataFrame([(5, t), (5, u), (3, t), (8, u), (9, "alone here")], "doc_id long, text string")
+    assert sorted(rows(lsh_forest.near_duplicates(df), "doc_id", "class_id", "n_links")) == [(3, 3, 1), (5, 3, 1), (5, 3, 1), (8, 5, 1), (9, 9, 0)]
+
+
 def test_near_duplicates(docs, texts, monkeypatch):
     expected = brute.near(texts[0])
     got = {r[0]: r[1:] for r in rows(lsh_forest.near_duplicates(docs), "doc_id", "class_id", "copy_id", "n_links")}
@@ -170,6 +287,34 @@ def test_secret_scan(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secret_scan_query(spark, tmp_path):
+    """All columns of the query against plain patterns, plain windows and a plain union."""
+    rng = random.Random(21)
+    some = [*SECRETS, "token=" + "ab12" * 9 + " " + "Zx9/" * 3 + "kQ7wLm2pR8sT4vY6nB3c", "a" * 3000 + "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=200))]
+    for _ in range(40):
+        some.append(" ".join(rng.choice(["word", "AKIA" + "".join(rng.choices("ABC123", k=rng.randint(8, 20))), "".join(rng.choices("0123456789abcdef", k=rng.randint(20, 60))), "api_key='" + "x1Y2" * rng.randint(1, 9) + "'", "".join(rng.choices("abcXYZ019+/_-", k=rng.randint(10, 90)))]) for _ in range(12)))
+    table = list(enumerate(some))
+    spark.createDataFrame([*table, table[0]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(queries.op3_secret_scan(spark, str(tmp_path)), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    assert len(got) == len(table) + 1
+    for i, *found in got:
+        base = brute.base_secrets(some[i])
+        spans = sorted([*base, *brute.entropy_spans(some[i], base, secrets.CLASSES, secrets.ALLOW)], key=lambda s: (s[0], secrets.KINDS.index(s[1])))
+        joined = lambda x: ",".join(f"{k}:{s}:{e}" for s, k, e in x)
+        assert found == [*(sum(k == kind for _, k, _ in base) for kind in ("assign", "access", "hex")), brute.sha(joined(base)), joined(spans)], i
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+
+    scanner, taken = secrets.Scanner(), []
+    for n in (2000, 8000):
+        text, began = "password=abcdefgh12 zQ8vN2kLw0XyR7tBf4HsJ6mPc1DaGe9U " * n, time.perf_counter()
+        assert len(scanner.spans(text)) == 2 * n
+        taken.append(time.perf_counter() - began)
+    assert taken[1] < 10 * taken[0]
+
+
 def test_random_keys_with_slashes_are_found_and_paths_are_not(spark):
     rng, scanner = random.Random(11), secrets.Scanner()
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -237,10 +382,30 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(kdtree, "BLOCK", 3)
     assert run(df) == plain_top(vectors)
     assert run(df.limit(0)) == []
+    twice = [*vectors[:150], vectors[100], (100, vectors[3][1]), vectors[0]]  # query rows that repeat, with an equal or another vector
+    assert run(spark.createDataFrame(twice, "vec_id long, embedding array<float>")) == plain_top(twice)
     large = [(0, [3e5, 1e30, -2.0]), (1, [3e5, 1.0, 1.0]), (2, [-3e5, 1e30, 4.0]), (3, [1.0, 2.0, 3.0])]
     assert run(spark.createDataFrame(large, "vec_id long, embedding array<float>")) == plain_top(large)
 
 
+def test_one_large_component_costs_no_more_than_its_leaves(spark):
+    """Scores beyond what floats hold exactly, in one shard with thousands of small ones; and beyond a long."""
+    import time
+
+    rng = np.random.default_rng(2)
+    points = np.floor(rng.normal(size=(20_000, 16)) * 300)
+    points[77, 3], points[500, 1], points[501, 1] = 5_120_000, 2.0**40 + 1, 2.0**40
+    queries = points[[0, 77, 500, 9]].copy()
+    queries[3, 1] = 2.0**33 + 1
+    tree, began = kdtree.Tree(np.arange(len(points)), points), time.perf_counter()
+    q, s, v = kdtree.search(tree, np.array([0, 77, 500, 9]), queries, np.full(4, -(1 << 63)), 10)
+    assert time.perf_counter() - began < 5
+    for i, own in enumerate((0, 77, 500, 9)):
+        scores = [-max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(p, queries[i], strict=True)))) for p in points]
+        plain = sorted((x, j) for j, x in enumerate(scores) if j != own)[:10]
+        assert [(-x, j) for x, j in zip(s[q == i].tolist(), v[q == i].tolist(), strict=True)] == plain
+
+
 def test_tree_boxes_are_tight_and_prune():
     rng = np.random.default_rng(1)
     points = np.floor(rng.normal(size=(3000, 3)) * 300)
@@ -249,7 +414,7 @@ def test_tree_boxes_are_tight_and_prune():
         assert (tree.lo[n] == tree.points[a:b].min(axis=0)).all() and (tree.hi[n] == tree.points[a:b].max(axis=0)).all()
         assert tree.kids[n, 0] < 0 or tree.span[tree.kids[n, 0]][1] == tree.span[tree.kids[n, 1]][0]
     q = points[:5]
-    who, score, ids = kdtree.search(tree, np.arange(5), q, np.full(5, -(2.0**63)), 7)
+    who, score, ids = kdtree.search(tree, np.arange(5), q, np.full(5, -(1 << 63)), 7)
     for i in range(5):
         s = points @ q[i]
         s[i] = -np.inf
@@ -308,6 +473,13 @@ def test_shards(docs, texts):
     assert again == got and sharding.shard(empty(docs)).count() == 0
 
 
+def test_shards_of_null_and_repeated_keys(spark):
+    table = [(None, "a"), (None, None), (3, "x"), (3, "x"), (3, "y"), (1, "")]
+    got = sorted(rows(sharding.shard(spark.createDataFrame(table, "doc_id long, text string").repartition(3), shards=4), "row_number", "doc_id", "size", "shard", "slot"))
+    assert [r[:3] for r in got] == [(0, None, 1), (1, None, 2), (2, 1, 1)] + [(3 + i, 3, 2) for i in range(3)]
+    assert sorted((s, n) for *_, s, n in got) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (3, 0)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000])
 def test_feistel_is_a_permutation(spark, n):
     assert sorted(sharding.feistel(x, n, 5) for x in range(n)) == list(range(n))
@@ -345,10 +517,84 @@ def test_tokens_and_packing(docs, texts):
         if fit:
             bins.remove(min(fit))
         bins.append((min(fit) if fit else 256) - size)
-    assert len(per_sequence) == len(bins)
+    assert len(bins) <= len(per_sequence) <= 1.01 * len(bins) + 1
     assert packing.pack(packing.pieces(empty(docs), path)).count() == 0
 
 
+def test_packing_rounds(spark):
+    """Hardly more sequences than plain best fit in falling order, over ranges of a few rows, with clashing columns."""
+    rng = random.Random(9)
+    for name, lengths in {"mixed": [rng.randint(1, 300) if rng.random() < 0.7 else rng.randint(1, 2048) for _ in range(700)], "equal": [700] * 301, "thirds": [rng.randint(400, 800) for _ in range(500)], "tiny": [rng.randint(1, 9) for _ in range(2000)]}.items():
+        df = spark.createDataFrame([(i, n, "kept", -1) for i, n in enumerate(lengths)], "doc_id long, length long, start string, SEQUENCE_ID int").repartition(3)
+        got = rows(packing.pack(df, range_rows=150), "doc_id", "length", "start", "sequence_id", "offset")
+        assert sorted(r[:3] for r in got) == [(i, n, "kept") for i, n in enumerate(lengths)]
+        sequences = defaultdict(list)
+        for _, n, _, s, o in got:
+            sequences[s].append((o, n))
+        for parts in sequences.values():
+            at = 0
+            for o, n in sorted(parts):
+                assert o == at, name
+                at += n
+            assert at <= 2048
+        bins = []
+        for n in sorted(lengths, reverse=True):
+            fit = min((g for g in bins if g >= n), default=None)
+            if fit is not None:
+                bins.remove(fit)
+            bins.append((fit or 2048) - n)
+        assert len(sequences) <= 1.01 * len(bins) + 1, name
+
+
+def test_pairs_by_rank_are_those_of_one_stack():
+    rng = random.Random(2)
+    for _ in range(300):
+        sorted_rows = [(rng.randrange(4), rng.random() < 0.5) for _ in range(rng.randint(1, 40))]
+        sorted_rows = [(part, gap) for part, gap in sorted(sorted_rows, key=lambda r: r[0])]
+        stack, plain = [], {}
+        for i, (_, gap) in enumerate(sorted_rows):
+            if gap:
+                stack.append(i)
+            else:
+                plain[i] = stack.pop() if stack else None
+        found, left, counts = {}, {}, []
+        for part in sorted({r[0] for r in sorted_rows}):
+            at = [i for i, r in enumerate(sorted_rows) if r[0] == part]
+            g, p = packing.bracketed(np.array([sorted_rows[i][1] for i in at]))
+            found |= {at[y]: at[x] for x, y in zip(g, p, strict=True)}
+            lone = [i for n, i in enumerate(at) if n not in {*g.tolist(), *p.tolist()}]
+            left[part] = ([i for i in lone if not sorted_rows[i][1]], [i for i in lone if sorted_rows[i][1]])
+            counts.append((part, len(left[part][0]), len(left[part][1])))
+        runs, alone, number = packing.by_rank(counts)
+        table = sorted([(*r, False) for r in runs] + [(p, f, n, 0, True) for p, f, n in alone])
+        for part, (pieces, _) in left.items():
+            for rank, i in enumerate(pieces):
+                _, first, other, top, lonely = [r for r in table if r[0] == part and r[1] <= rank][-1]
+                found[i] = None if lonely else left[other][1][top - (rank - first)]
+        assert found == plain and number == sum(v is None for v in plain.values())
+
+
+def test_packing_edges(spark):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (2, "")], "start long, text string")
+    found = packing.pack(packing.pieces(df, path, key="start"))
+    assert sorted(rows(found, "key_start", "piece", "start", "length"), key=str) == sorted([(1, 0, 0, 3), (1, 0, 0, 3), (None, 0, 0, 1), (2, 0, 0, 1)], key=str)
+    assert found.select("sequence_id").distinct().count() == 1
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(3000,)], "length long"))
+
+
+def test_other_vocabularies_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    texts = ["Hello  there\nworld's   end", "", "é x"]
+    raw = [t.encode() for t in texts]
+    encoder = packing.Encoder(path)
+    ids, before = encoder.rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert not encoder.chunked and [ids[a:z].tolist() for a, z in itertools.pairwise(before)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encoder_forgets_within_its_bound():
     from tokenizers import Tokenizer
 
@@ -380,7 +626,7 @@ def conversation_rows():
 def test_prefix_trees(spark):
     data = conversation_rows()
     df = spark.createDataFrame([(*r, 1) for r in data], "conv_id long, turn long, role string, text string, node int").repartition(4)
-    nodes, leaves = chat.prefix_trees(df)
+    nodes, leaves = chat.prefix_trees(df, per_salt=2)
     back = {r[0]: r[1:] for r in rows(chat.read_back(nodes, leaves, per_salt=3), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
     by_conv = defaultdict(list)
     for c, turn, role, text in data:
