@@ -15,6 +15,8 @@ from ..sql import ast
 from ..types import INT_RANGE, Literal, mismatch, stored
 
 Value = Callable[[Literal, str], Literal]
+#: Dead rows that stand in the manifest, and parts of single INSERTs, before files are written anew.
+MARKS, SMALL_PARTS = 4096, 32
 
 
 def _unique_columns(catalog: Catalog, state: dict, table: str) -> list[str]:
@@ -43,6 +45,9 @@ def insert(catalog: Catalog, state: dict, statement: ast.Insert, value_of: Value
             raise _violation()
     df = catalog.spark.createDataFrame(rows, table_schema(entry)).coalesce(1)
     entry["parts"].append(catalog.write_part(entry["name"], df))
+    entry["small"] = entry.get("small", 0) + 1
+    if entry["small"] >= SMALL_PARTS:
+        join_small(catalog, entry)
     entry["rows"] += len(rows)
     entry["next"] += len(rows)
     return len(rows)
@@ -64,6 +69,7 @@ def load(catalog: Catalog, state: dict, table: str, df: DataFrame, order: str) -
         if duplicates(catalog.rows(entry, [*entry["parts"], part]), column):
             raise _violation()
     entry["parts"].append(part)
+    entry["small"] = 0
     entry["rows"] += counts[0]
     entry["next"] += counts[0]
     return counts[0]
@@ -124,29 +130,63 @@ def update(catalog: Catalog, state: dict, statement: ast.Update, value_of: Value
 
 
 def delete(catalog: Catalog, state: dict, statement: ast.Delete, value_of: Value) -> int:
-    """Keeps rows for which the predicate isn't true; numbers close up from the first part that loses one."""
+    """Marks the rows for which the predicate is true: up to MARKS row numbers stand in the manifest, and no data file is
+    written. Beyond that the parts that hold a match are written anew without their dead rows, by a narrow pass. Row numbers
+    stay, with gaps."""
     entry = catalog.entry(state, statement.table, "table")
-    if statement.where is None:
-        n = entry["rows"]
-        entry["parts"], entry["rows"], entry["next"] = [], 0, 0
-        return n
-    hit = F.coalesce(predicate(statement.where, _cells(entry, statement.table), value_of), F.lit(False))
-    touched = _touched(catalog, entry, hit)
-    n = sum(touched.values())
-    if not n:
-        return 0
-    if n == entry["rows"]:
-        entry["parts"] = []
-    else:
-        first = min(entry["parts"].index(p) for p in touched)
-        before = catalog.rows(entry, entry["parts"][:first]).count() if first else 0
-        rest = catalog.rows(entry, entry["parts"][first:]).where(~hit)
-        entry["parts"] = [*entry["parts"][:first], catalog.write_part(entry["name"], dense_rows(rest, ROW, ROW, before))]
+    n = entry["rows"]
+    if statement.where is not None:
+        hit = F.coalesce(predicate(statement.where, _cells(entry, statement.table), value_of), F.lit(False))
+        touched = _touched(catalog, entry, hit)
+        n = sum(touched.values())
+    if n and n == entry["rows"]:
+        entry["parts"], entry["next"], entry["dead"], entry["small"], entry["gaps"] = [], 0, [], 0, False
+    elif n:
+        if len(entry.get("dead", [])) + n <= MARKS:
+            found = catalog.rows(entry, [p for p in entry["parts"] if p in touched]).where(hit).select(ROW).collect()
+            entry["dead"] = sorted([*entry.get("dead", []), *(r[0] for r in found)])
+        else:
+            rewrite(catalog, entry, set(touched), ~hit)
+        entry["gaps"] = True
     entry["rows"] -= n
-    entry["next"] = entry["rows"]
     return n
 
 
+def rewrite(catalog: Catalog, entry: dict, parts: set[str], keep: Column | None = None) -> None:
+    """Writes parts anew without dead rows (and without those that aren't kept); marks that these parts need no longer go."""
+    rest = [p for p in entry["parts"] if p not in parts]
+    for i, part in enumerate(entry["parts"]):
+        if part in parts:
+            rows = catalog.rows(entry, [part])
+            entry["parts"][i] = catalog.write_part(entry["name"], rows if keep is None else rows.where(keep))
+    if entry.get("dead"):
+        entry["dead"] = sorted(r[0] for r in catalog.stored_rows(entry, rest).where(F.col(ROW).isin(entry["dead"])).select(ROW).collect()) if rest else []
+
+
+def vacuum(catalog: Catalog, state: dict) -> int:
+    """Writes parts anew that hold dead rows, and joins the small parts of single INSERTs; the number of tables changed."""
+    changed = 0
+    for entry in state["objects"].values():
+        if entry["kind"] != "table":
+            continue
+        work = False
+        if entry.get("dead"):
+            rewrite(catalog, entry, set(_touched(catalog, {**entry, "dead": []}, F.col(ROW).isin(entry["dead"]))))
+            work = True
+        if entry.get("small", 0) > 1:
+            join_small(catalog, entry)
+            work = True
+        changed += work
+    return changed
+
+
+def join_small(catalog: Catalog, entry: dict) -> None:
+    """One part of the newest parts that single INSERTs wrote."""
+    small = entry["parts"][-entry["small"] :]
+    entry["parts"] = [*entry["parts"][: -len(small)], catalog.write_part(entry["name"], catalog.stored_rows(entry, small).coalesce(1))]
+    entry["small"] = 0
+
+
 def create_index(catalog: Catalog, state: dict, statement: ast.CreateIndex) -> None:
     entry = catalog.entry(state, statement.table, "table")
     column = next((c for c in table_columns(entry) if c.name.lower() == statement.column.lower()), None)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +20,14 @@ ROW = "_row_id"
 
 @dataclass
 class Source:
-    """A table to read: its rows with their physical order in the columns `rows`, and its columns."""
+    """A table to read: its rows with their physical order in the columns `rows`, and its columns. count: its number of
+    rows, where that is known without a scan; gaps: its row numbers aren't dense."""
 
     df: DataFrame
     columns: list[TableColumn]
     rows: tuple[str, ...] = (ROW,)
+    count: int | None = None
+    gaps: bool = False
 
     def column(self, name: str) -> TableColumn | None:
         return next((c for c in self.columns if c.name.lower() == name.lower()), None)
@@ -71,10 +74,16 @@ def plan_select(statement: ast.Select, source_of: Callable[[ast.Table], Source],
     in_order: also sort by physical order where the statement has none of its own. Without it, only a LIMIT brings the
     physical order in, as it decides which rows are taken.
     """
-    left = _Scope(source_of(statement.table), statement.table, "l")
+    def scope_of(table: ast.Table, tag: str) -> _Scope:
+        source = source_of(table)
+        if statement.join and source.gaps and (in_order or statement.limit is not None):  # batches hold live rows
+            source = replace(source, df=ordering.dense_rows(source.df, ROW, ROW), gaps=False)
+        return _Scope(source, table, tag)
+
+    left = scope_of(statement.table, "l")
     scopes = [left]
     if statement.join:
-        right = _Scope(source_of(statement.join.table), statement.join.table, "r")
+        right = scope_of(statement.join.table, "r")
         scopes.append(right)
     resolve = _resolver(scopes)
     if statement.join and (statement.count or statement.columns is None or any(c.table is None for c in statement.columns)):
@@ -108,6 +117,8 @@ def plan_select(statement: ast.Select, source_of: Callable[[ast.Table], Source],
     if statement.count:
         if statement.order is not None:
             raise EngineError(Code.SYNTAX, "ORDER BY requires a projected column")
+        if statement.where is None and left.source.count is not None:
+            return Planned(aggregates.known_count(df, left.source.count, statement.limit, statement.offset), ["count(*)"])
         return Planned(aggregates.count_rows(df, statement.limit, statement.offset), ["count(*)"])
 
     order = statement.order

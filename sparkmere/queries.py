@@ -7,7 +7,6 @@ and streams run on a database in the session's shared folder that is made for th
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .database import Database
 from .functions import vector as V
+from .operators.ordering import shared_folder
 from .operators.vector_search import topk
 from .sources.store import Store
 from .streaming import queue as leases
@@ -30,8 +30,7 @@ KEYS = {
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors reach; it goes when Python ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkmere-")
-    path = f"{base.rstrip('/')}/sparkmere-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/sparkmere-{uuid.uuid4().hex}"
 
     def forget() -> None:
         try:

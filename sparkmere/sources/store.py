@@ -53,5 +53,8 @@ class Store:
             return False
         return bool(self._fs.rename(self._path(*source), self._path(*target)))
 
+    def make(self, *parts: str) -> None:
+        self._fs.mkdirs(self._path(*parts))
+
     def delete(self, *parts: str) -> None:
         self._fs.delete(self._path(*parts), True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -13,23 +14,38 @@ from .log import SCHEMA
 
 
 def flush(db: Database, stream: str) -> str:
-    """Writes the records that readers haven't got yet to the stream's log folder, and gives its path.
+    """Gives readers the records that they haven't got yet, as a folder of the stream's log, and gives the log's path.
 
-    A batch of records has a folder named by their positions, so writing it again after a crash writes the same folder.
+    The range of positions is published first, so it never changes; then its folder is written aside and renamed. After a
+    crash in between, the next flush writes the folder that is missing before it goes on. A record that a transaction may
+    still roll back can't be flushed, so within one this is an error.
     """
+    if db.in_transaction:
+        raise EngineError(Code.EXEC, "cannot flush inside active transaction")
+    store, name = db.catalog.store, stream.lower()
 
-    def work(s: dict) -> tuple[object, bool]:
+    def publish(s: dict) -> tuple[object, bool]:
         entry = Catalog.entry(s, stream, "stream")
         first, end = max(entry["followed"], entry["first"]), entry["end"]
         if first >= end:
             return None, False
-        rows = db.payloads.dataframe(entry, first, end)
-        rows.write.mode("overwrite").parquet(db.catalog.store.path("_log", stream.lower(), f"{first:020d}-{end:020d}"))
-        entry["followed"] = end
+        entry["followed"], entry["flushed"] = end, [first, end]
         return None, True
 
-    db._change(work)
-    return db.catalog.store.path("_log", stream.lower())
+    def write() -> None:
+        entry = Catalog.entry(db.state, stream, "stream")
+        first, end = entry.get("flushed") or (0, 0)
+        folder = f"{first:020d}-{end:020d}"
+        if first < end and not store.exists("_log", name, folder):
+            aside = ("_log", f"_{name}-{uuid.uuid4().hex}")
+            db.payloads.dataframe(entry, first, end).write.parquet(store.path(*aside))
+            store.make("_log", name)
+            store.rename_new(aside, ("_log", name, folder))
+
+    write()
+    db._change(publish)
+    write()
+    return store.path("_log", name)
 
 
 def follow(db: Database, stream: str, max_files: int = 64) -> DataFrame:
