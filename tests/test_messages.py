@@ -176,3 +176,53 @@ def test_bulk_queue(db, spark):
     db.enqueue("q", "last")
     with db.transaction():
         assert [db.dequeue("q").decode() for _ in range(22)] == ["first", *[f"m{i}" for i in range(20)], "last"]
+
+
+def test_claims_look_at_few_leases(db, clock, monkeypatch):
+    """Of a deep queue with thousands of claims out, what a claim looks at is what claims and answers put in its way."""
+    from sparkmere.streaming import queue as queues
+
+    db.execute("CREATE QUEUE deep")
+    looked, lease = [0], queues._lease
+    monkeypatch.setattr(queues, "_lease", lambda q, p: looked.__setitem__(0, looked[0] + 1) or lease(q, p))
+    q, payloads = db.state["objects"]["deep"], type("P", (), {"read": lambda *_: b"", "append": lambda *_: None, "forget": lambda *_: None})()
+    for _ in range(30_000):
+        queues.enqueue(q, payloads, b"")
+    most = 0
+    for i in range(29_700):
+        looked[0] = 0
+        assert queues.claim(q, payloads, 10**9, 1000)[1] == i
+        most = max(most, looked[0])
+    for i in (29_000, 17, 400):
+        queues.nack(q, i, 1)
+    for expected in (17, 400, 29_000, 29_700):
+        looked[0] = 0
+        assert queues.claim(q, payloads, 50, 1000)[1:] == (expected, 1 if expected == 29_700 else 3)
+        most = max(most, looked[0])
+    assert [queues.claim(q, payloads, 50, 1050)[1] for _ in range(5)] == [17, 400, 29_000, 29_700, 29_701]
+    assert most <= 62
+
+
+def test_flush_gives_each_record_once(spark, tmp_path):
+    """Not within a transaction, not what was rolled back, and whole after a crash between publishing and writing."""
+    from sparkmere.streaming import reader
+
+    path = str(tmp_path / "f")
+    with Database.create(path, spark) as d:
+        d.execute("CREATE STREAM s")
+        d.append("s", "0")
+        d.begin()
+        d.append("s", "lost")
+        with pytest.raises(EngineError):
+            reader.flush(d, "s")
+        d.rollback()
+        d.append("s", "1")
+        rename, d.catalog.store.rename_new = d.catalog.store.rename_new, lambda source, target: (_ for _ in ()).throw(KeyboardInterrupt) if source[0] == "_log" else rename(source, target)
+        with pytest.raises(KeyboardInterrupt):
+            reader.flush(d, "s")
+        d.append("s", "2")
+    with Database.open(path, spark) as d:
+        folder = reader.flush(d, "s")
+        reader.flush(d, "s")
+        got = sorted((r[0], bytes(r[1])) for r in spark.read.schema("position long, payload binary").parquet(f"{folder}/*").collect())
+        assert got == [(0, b"0"), (1, b"1"), (2, b"2")]
