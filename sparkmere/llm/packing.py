@@ -19,7 +19,8 @@ Packing is bulk-synchronous best fit. A round of pack():
 
 A round takes the pieces that fit k times into a sequence, but not k+1 times, for k = 1 to FEW; below that those of more
 than half of the longest length left, and sequences are opened only as the tokens left need them beyond all gaps. Rounds
-repeat until all have a place: some 15, whatever the number of documents. No task holds more than its range, ties are spread by id, the driver sees a few
+repeat until all have a place: some 15, whatever the number of documents. Once all that is left, pieces and gaps, fits one
+range, one task runs the rounds that remain, by the same rules and steps. No task holds more than its range, ties are spread by id, the driver sees a few
 numbers a partition, and every round is kept in the shared folder.
 
 Defined cases: null text is empty (one id: the end mark); longer documents are cut into full pieces and a rest; repeated
@@ -307,38 +308,103 @@ def routed(runs: list[tuple[int, int, int, int]], alone: list[tuple[int, int, in
     return run
 
 
+class Rules:
+    """What a round takes, given the longest piece left."""
+
+    def __init__(self, longest: int, capacity: int):
+        self.each = capacity // longest  # pieces that a new sequence is sure to hold
+        self.few = self.each <= FEW
+        self.edge = capacity // (self.each + 1) if self.few else longest // 2  # of the pieces it takes those above
+
+    def opening(self, alone: int, tokens_alone: int, lacking: int, found_some: bool, capacity: int) -> int:
+        """Sequences to open for pieces that found no gap; lacking: the tokens left beyond all gaps."""
+        most = -(-alone // self.each)
+        if self.few:
+            return most
+        needed = -(-lacking // capacity)
+        if needed <= 0 and not found_some:
+            needed = -(-tokens_alone // capacity)
+        return min(most, max(0, needed))
+
+
+LAST = "piece long, sequence_id long, offset long"
+
+
+def last_rounds(capacity: int, sequences: int, lacking: int):
+    """All rounds left, where gaps and pieces (is_gap, id, size) fit one range: the same steps on arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        is_gap, ids, size = (c.to_numpy(zero_copy_only=False) for c in pa.Table.from_batches(got).combine_chunks().columns)
+        seq, gap, piece, length = ids[is_gap], size[is_gap], ids[~is_gap], size[~is_gap]
+        count, short = sequences, lacking
+        while len(piece):
+            rules = Rules(int(length.max()), capacity)
+            now = np.flatnonzero(length > rules.edge)
+            open_ = np.flatnonzero(gap >= length.min())
+            seq, gap = seq[open_], gap[open_]
+            slots = np.clip(gap // length.max(), 1, len(piece))
+            owner = np.repeat(np.arange(len(gap)), slots)
+            slot = np.arange(len(owner)) - np.repeat(np.cumsum(slots) - slots, slots)
+            kind = np.concatenate([np.zeros(len(owner), bool), np.ones(len(now), bool)])
+            order = np.lexsort((np.concatenate([slot, np.zeros(len(now), np.int64)]), np.concatenate([seq[owner], piece[now]]), kind, -np.concatenate([gap[owner], length[now]])))
+            g, p = bracketed(~kind[order])
+            g, p = owner[order[g]], now[order[p] - len(owner)]
+            lone = np.ones(len(piece), bool)
+            lone[p] = False
+            alone = now[order[kind[order]] - len(owner)]
+            alone = alone[lone[alone]]  # in falling order
+            opening = rules.opening(len(alone), int(length[alone].sum()), short, len(p) > 0, capacity)
+            new = alone[: opening * rules.each]
+            seq, gap = np.concatenate([seq, count + np.arange(opening)]), np.concatenate([gap, np.full(opening, capacity)])
+            into = np.concatenate([g, len(seq) - opening + np.arange(len(new)) // rules.each])
+            who = np.concatenate([p, new])
+            order = np.lexsort((who, into))
+            into, who = into[order], who[order]
+            total = np.cumsum(length[who])
+            before = total - length[who]
+            before -= before[np.searchsorted(into, into)]
+            yield pa.RecordBatch.from_arrays([pa.array(piece[who]), pa.array(seq[into]), pa.array(capacity - gap[into] + before)], names=["piece", "sequence_id", "offset"])
+            gap = gap - np.bincount(into, length[who], len(gap)).astype(np.int64)
+            count, short = count + opening, short - opening * capacity
+            lone[new] = False
+            piece, length = piece[lone], length[lone]
+
+    return run
+
+
 def pack(found: DataFrame, capacity: int = 2048, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows with a length of 1 to `capacity`, with sequence_id and offset: sequences hold `capacity` at most and have no holes."""
     spark = found.sparkSession
     rows = cut(drop_clashing(found, ["sequence_id", "offset"]).withColumn("__piece__", F.monotonically_increasing_id()))
-    pieces = rows.select(F.col("__piece__").alias("piece"), "length")
-    gaps = spark.createDataFrame([], "seq long, gap long")
-    sequences, rounds = 0, []
-    number, tokens, longest, shortest = pieces.agg(F.count("*"), F.sum("length"), F.max("length"), F.min("length")).first()
+    number, lacking, longest, shortest = rows.agg(F.count("*"), F.sum("length"), F.max("length"), F.min("length")).first()
     if number and (shortest < 1 or longest > capacity):
         raise ValueError(f"lengths must lie in 1 to {capacity}")
-    total = tokens
+    pieces = cut(rows.select(F.col("__piece__").alias("piece"), "length").coalesce(number // range_rows + 1))
+    gaps = spark.createDataFrame([], "seq long, gap long")
+    sequences = opened_gaps = 0
+    rounds = []
     while number:
-        each = capacity // longest  # pieces that a new sequence is sure to hold
-        few = each <= FEW
-        edge = capacity // (each + 1) if few else longest // 2
-        now = pieces.where(F.col("length") > edge)
+        if number + opened_gaps <= range_rows:
+            both = gaps.select(F.lit(True).alias("is_gap"), F.col("seq").alias("id"), F.col("gap").alias("size")).unionByName(pieces.select(F.lit(False).alias("is_gap"), F.col("piece").alias("id"), F.col("length").alias("size")))
+            rounds.append(cut(both.coalesce(1).mapInArrow(tidy(last_rounds(capacity, sequences, lacking)), LAST)))
+            break
+        rules = Rules(longest, capacity)
+        each = rules.each
+        now = pieces.where(F.col("length") > rules.edge)
         slots = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / longest), F.lit(number))).cast("int")
         offered = gaps.select(F.lit(True).alias("is_gap"), F.col("seq").alias("id"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"), F.col("gap").alias("size"))
         wanting = now.select(F.lit(False).alias("is_gap"), F.col("piece").alias("id"), F.lit(0).alias("slot"), F.col("length").alias("size"))
         order = [F.desc("size"), F.desc("is_gap"), F.asc("id"), F.asc("slot")]
-        ranged = offered.unionByName(wanting).repartitionByRange((number + sequences) // range_rows + 1, *order).sortWithinPartitions(*order)
+        ranged = offered.unionByName(wanting).repartitionByRange((number + opened_gaps) // range_rows + 1, *order).sortWithinPartitions(*order)
         swept = cut(ranged.select(F.spark_partition_id().alias("part"), "is_gap", "id", "slot", "size").mapInArrow(tidy(sweep), SWEPT))
         count = lambda c: F.sum(F.when(c, 1).otherwise(0))
         lone, spare = F.col("seq").isNull(), F.col("piece").isNull()
-        left = swept.groupBy("part").agg(count(lone), count(spare), count(~lone & ~spare), F.sum("length")).collect()  # a row a partition
+        left = swept.groupBy("part").agg(count(lone), count(spare), count(~lone & ~spare), F.sum(F.when(lone, F.col("length")).otherwise(0))).collect()  # a row a partition
         runs, alone, rest = by_rank([(r[0], r[1], r[2]) for r in left])
-        opening = -(-rest // each)
-        if not few:  # as many as the tokens left need beyond all gaps; if nothing found a gap, as these pieces need
-            needed = -(-(total - sequences * capacity) // capacity)
-            if needed <= 0 and not sum(r[3] for r in left) and not runs:
-                needed = -(-sum(r[4] or 0 for r in left) // capacity)
-            opening = min(opening, max(0, needed))
+        opening = rules.opening(rest, sum(r[4] for r in left), lacking, bool(runs) or any(r[3] for r in left), capacity)
         routes = swept.where(lone).select("part", "place", "piece", "length").mapInArrow(tidy(routed(runs, alone)), "part int, place long, piece long, length long, number long")
         taken = swept.where(spare).select("part", "place", "seq", "slot", "gap").join(routes.where("number is null").select("part", "place", "piece", "length"), ["part", "place"], "left")
         without = routes.where("number is not null")
@@ -349,11 +415,12 @@ def pack(found: DataFrame, capacity: int = 2048, range_rows: int = RANGE_ROWS) -
         sums = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         filled = cut(every.withColumn("filled", F.coalesce(F.sum("length").over(sums), F.lit(0))).withColumn("last", F.lead("slot").over(within).isNull()))
         rounds.append(filled.where("piece is not null").select("piece", F.col("seq").alias("sequence_id"), (capacity - F.col("gap") + F.col("filled") - F.col("length")).alias("offset")))
-        pieces = pieces.where(F.col("length") <= edge)
+        pieces = pieces.where(F.col("length") <= rules.edge)
         if rest > opening * each:
             pieces = pieces.unionByName(cut(without.where(F.col("number") >= opening * each).select("piece", "length")))
-        sequences += opening
+        sequences, lacking = sequences + opening, lacking - opening * capacity
         number, longest, shortest = pieces.agg(F.count("*"), F.max("length"), F.min("length")).first()
         gaps = filled.where("last").select("seq", (F.col("gap") - F.col("filled")).alias("gap")).where(F.col("gap") >= (shortest or capacity))
-    places = functools.reduce(DataFrame.unionByName, rounds, spark.createDataFrame([], "piece long, sequence_id long, offset long")).withColumnRenamed("piece", "__piece__")
+        opened_gaps = gaps.count() if number else 0
+    places = functools.reduce(DataFrame.unionByName, rounds, spark.createDataFrame([], LAST)).withColumnRenamed("piece", "__piece__")
     return rows.join(places, "__piece__").drop("__piece__")
