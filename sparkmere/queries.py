@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .database import Database
+from .errors import Code, EngineError
 from .functions import vector as V
 from .operators.ordering import shared_folder
 from .operators.vector_search import topk
 from .sources.store import Store
-from .streaming import queue as leases
 
 #: Columns that give each outside table a total order.
 KEYS = {
@@ -256,9 +256,85 @@ def rollback_restores(spark, sf_dir):
         return db.sql("SELECT COUNT(*) FROM part").withColumnRenamed("count(*)", "n")
 
 
-@_query("unique_index_dups", "SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(*) > 1")
-def unique_index_dups(spark, sf_dir):
-    return Tables(spark, sf_dir).read("orders").where("o_custkey IS NOT NULL").groupBy("o_custkey").count().where("count > 1").select("o_custkey")
+@_query("unique_index", "SELECT 'o_orderkey' AS col, CASE WHEN count(o_orderkey) = count(DISTINCT o_orderkey) THEN 'made' ELSE 'refused' END AS outcome FROM orders UNION ALL SELECT 'o_custkey', CASE WHEN count(o_custkey) = count(DISTINCT o_custkey) THEN 'made' ELSE 'refused' END FROM orders")
+def unique_index(spark, sf_dir):
+    """CREATE UNIQUE INDEX over all orders, on a column of different values and on one that repeats."""
+    with Database.create(_folder(spark), spark) as db:
+        db.execute("CREATE TABLE orders (o_orderkey INT64, o_custkey INT64)")
+        db.load("orders", Tables(spark, sf_dir).read("orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+        return spark.createDataFrame([(c, _outcome(db, f"CREATE UNIQUE INDEX u_{c} ON orders ({c})")[0]) for c in ("o_orderkey", "o_custkey")], "col string, outcome string")
+
+
+def _outcome(db: Database, sql: str) -> tuple[str, int]:
+    """('made', 0), or ('refused', code)."""
+    try:
+        db.query(sql) if sql.startswith("SELECT") else db.execute(sql)
+    except EngineError as e:
+        return "refused", int(e.code)
+    return "made", 0
+
+
+#: Statements that must fail over the table part (p_partkey INT64 NOT NULL, p_size INT32, big BOOL), and their codes.
+_REFUSED = [
+    ("SELECT weight FROM part", Code.COLUMN_NOT_FOUND), ("SELECT p_size FROM wheels", Code.TABLE_NOT_FOUND), ("SELECT p_size FROM part ORDER BY big", Code.COLUMN_NOT_FOUND),
+    ("SELECT p_size FROM part WHERE p_size = p_partkey", Code.TYPE_MISMATCH), ("SELECT p_size FROM part WHERE big", Code.SYNTAX), ("SELECT p_size FROM part WHERE p_size > 1.5", Code.TYPE_MISMATCH),
+    ("SELECT COUNT(p_size) FROM part", Code.SYNTAX), ("SELECT a.p_size FROM part a JOIN part b ON a.big = b.big", Code.TYPE_MISMATCH), ("SELECT p_size FROM part a JOIN part b ON a.p_size = b.p_size", Code.SYNTAX),
+    ("SELECT a.p_size FROM part a JOIN part b ON a.p_size = b.p_size WHERE a.p_size = 1", Code.EXEC), ("SELECT a.p_size FROM part a JOIN part b ON a.p_size = b.p_size ORDER BY a.p_size", Code.EXEC),
+    ("INSERT INTO part VALUES (1, 2)", Code.VALUE_COUNT), ("INSERT INTO part VALUES (NULL, 2, TRUE)", Code.NOT_NULLABLE), ("INSERT INTO part VALUES (1, 3000000000, TRUE)", Code.TYPE_MISMATCH),
+    ("UPDATE part SET p_partkey = NULL WHERE p_size = 1", Code.NOT_NULLABLE), ("CREATE TABLE part (a INT32)", Code.DUPLICATE_TABLE), ("CREATE INDEX i ON part (big)", Code.TYPE_MISMATCH),
+    ("DROP INDEX nothing", Code.TABLE_NOT_FOUND), ("ROLLBACK", Code.EXEC), ("COMMIT", Code.EXEC), ("SELECT p_size FROM part ORDER BY p_size <-> [1] LIMIT 1", Code.TYPE_MISMATCH),
+]
+
+
+@_query("refusals", "SELECT CAST(n AS INTEGER) AS n, statement, CAST(code AS INTEGER) AS code FROM (VALUES " + ", ".join(f"({n}, $${q}$$, {int(c)})" for n, (q, c) in enumerate(_REFUSED)) + ") AS t(n, statement, code)")
+def refusals(spark, sf_dir):
+    """What the engine answers to statements that it must refuse."""
+    with _part_database(spark, sf_dir) as db:
+        return spark.createDataFrame([(n, q, _outcome(db, q)[1]) for n, (q, _) in enumerate(_REFUSED)], "n int, statement string, code int")
+
+
+@_query("commit_keeps", f"SELECT count(*) AS n FROM ({_PART}) WHERE NOT coalesce(p_size = 20, FALSE)")
+def commit_keeps(spark, sf_dir):
+    with _part_database(spark, sf_dir) as db:
+        with db.transaction():
+            db.execute("DELETE FROM part WHERE p_size = 20")
+        return db.sql("SELECT COUNT(*) FROM part").withColumnRenamed("count(*)", "n")
+
+
+@_query("delete_few_join", "SELECT a.p_partkey AS p_partkey, b.p_size AS p_size FROM (SELECT * FROM part WHERE p_partkey NOT IN (2, 3, 70)) a JOIN (SELECT * FROM part WHERE p_partkey NOT IN (2, 3, 70)) b ON a.p_partkey = b.p_partkey WHERE b.p_size <> 13 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_size = 13 AND p_partkey NOT IN (2, 3, 70)")
+def delete_few_join(spark, sf_dir):
+    """A join never sees rows that a DELETE has marked."""
+    with _part_database(spark, sf_dir) as db:
+        db.execute("DELETE FROM part WHERE p_partkey = 2 OR p_partkey = 3 OR p_partkey = 70")
+        return db.sql("SELECT a.p_partkey, b.p_size FROM part a LEFT JOIN part b ON a.p_partkey = b.p_partkey")
+
+
+@_query("prepared_where", "SELECT p_partkey FROM part WHERE (p_size >= 10 AND p_size < 20 AND p_size <> 13) OR p_partkey = 7")
+def prepared_where(spark, sf_dir):
+    """One prepared statement, bound and stepped twice; the second binding's rows."""
+    with _part_database(spark, sf_dir) as db:
+        s = db.prepare("SELECT p_partkey FROM part WHERE p_size >= ? AND p_size < ? OR p_partkey = ?")
+        s.bind([1, 5, 3]).query()
+        s.bind([10, 20, 7])
+        return spark.createDataFrame(list(iter(s.step, None)), "p_partkey long")
+
+
+@_query("join_null_keys", f"SELECT a.doc_id, r_name FROM (SELECT doc_id, CAST(quality AS BIGINT) AS quality FROM ({_LABELED})) a LEFT JOIN (SELECT CASE WHEN r_regionkey > 1 THEN NULL ELSE CAST(r_regionkey AS BIGINT) END AS k, r_name FROM region) b ON a.quality = b.k")
+def join_null_keys(spark, sf_dir):
+    """Null keys on both sides never match."""
+    t = Tables(spark, sf_dir)
+    left = _labeled(t).select("doc_id", F.col("quality").cast("long").alias("quality"))
+    right = t.read("region").select("r_regionkey", F.when(F.col("r_regionkey") <= 1, F.col("r_regionkey").cast("long")).alias("k"), "r_name")
+    return t.sql("SELECT a.doc_id, b.r_name FROM a LEFT JOIN b ON a.quality = b.k", a=left, b=right)
+
+
+@_query("vector_null_zero", f"SELECT vec_id FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 0 ORDER BY {_COS}, vec_id LIMIT 25")
+def vector_null_zero(spark, sf_dir):
+    """By cosine distance, with every fifth vector null and every seventh zero: neither is a candidate."""
+    t = Tables(spark, sf_dir)
+    zero = F.array(*[F.lit(0.0).cast("float")] * 64)
+    e = t.read("embeddings").select("vec_id", F.when(F.col("vec_id") % 5 == 0, None).when(F.col("vec_id") % 7 == 0, zero).otherwise(F.col("embedding")).alias("embedding"))
+    return t.sql(f"SELECT vec_id FROM e ORDER BY embedding <=> {_VECTOR} LIMIT 25", e=e)
 
 
 # --- queues and streams: all events, in order of their ids, are the messages
@@ -332,11 +408,40 @@ def lease_claimable(spark, sf_dir):
         return spark.createDataFrame(got, "position long, token int")
 
 
-@_query("lease_rows_claimable", "SELECT event_id FROM events WHERE event_id % 3 = 0 OR (event_id % 3 = 1 AND event_id * 10 <= 5000)")
-def lease_rows_claimable(spark, sf_dir):
-    """The same rule over a table of lease states: held, or claimed with a deadline that has come at 5000."""
-    e = Tables(spark, sf_dir).read("events").select("event_id", (F.col("event_id") % 3).alias("state"), (F.col("event_id") * 10).alias("deadline"))
-    return e.where((F.col("state") == leases.HELD) | ((F.col("state") == leases.CLAIMED) & (F.col("deadline") <= 5000))).select("event_id")
+@_query("lease_ack", f"SELECT position, payload FROM {_MESSAGES} WHERE position >= 5")
+def lease_ack(spark, sf_dir):
+    """Of ten claimed messages those at 0 to 4 and 7 are answered, out of order: the head passes the first five, 7 stays
+    behind it; what the queue holds."""
+    with _queue(spark, sf_dir, lambda: 1000) as db:
+        with db.transaction():
+            tickets = [db.claim("q", 500) for _ in range(10)]
+            for i in (7, 3, 0, 4, 1, 2):
+                db.ack("q", tickets[i].position, tickets[i].token)
+        return _texts(db.messages("q"))
+
+
+@_query("consume_is_atomic", f"SELECT 'first' AS try, CAST(0 AS BIGINT) AS depth UNION ALL SELECT 'second', count(*) FROM {_MESSAGES}")
+def consume_is_atomic(spark, sf_dir):
+    """A consumer that moves a stream into a queue: it fails once after it has written, and leaves no trace; then it commits
+    messages and cursor together."""
+    from .streaming.reader import consume
+
+    with _stream(spark, sf_dir) as db:
+        db.execute("CREATE QUEUE q")
+
+        def move(df: DataFrame, to: Database, fail: bool) -> None:
+            to.enqueue_all("q", df, "position")
+            if fail:
+                raise RuntimeError("after writing")
+
+        got = []
+        for name, fail in (("first", True), ("second", False)):
+            try:
+                consume(db, "s", "c", lambda df, to, fail=fail: move(df, to, fail))
+            except RuntimeError:
+                pass
+            got.append((name, db.depth("q")))
+        return spark.createDataFrame(got, "try string, depth long")
 
 
 @_query("stream_read_cursor", f"SELECT position, payload FROM {_MESSAGES} WHERE position BETWEEN 30 AND 49")
