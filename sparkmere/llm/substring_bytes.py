@@ -13,7 +13,8 @@ A byte goes if some 100-byte string that covers it also starts earlier (smaller
    prefixes of 100 bytes are equal strings, and all but the earliest of a run go. A minimizer with very many contents is
    cut by the offset of its strings from the minimizer, and beyond that by the strings' own hashes: equal ones still meet.
 
-Arrays travel between stages (see exchange); lists belong to one bucket of hashes or one batch of documents, both bounded.
+Arrays travel between stages (see exchange); lists belong to one bucket of hashes or one batch of
+documents; buckets grow in number with the text, but all entries of one minimizer meet in one.
 Texts are shuffled only for documents that have pieces to compare or bytes to remove.
 
 Defined cases: null text is empty; a null id is neither earlier nor later, so such a row is kept whole; rows with equal

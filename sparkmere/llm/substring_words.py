@@ -12,7 +12,7 @@ share an aligned anchor whose 7 words lie within both. Only 7-grams at anchors a
 
 Hashes travel as arrays (see exchange). Every batch passes on one entry of a hash that it holds more than once, so a
 passage of a third of all documents adds one entry a batch; every list that is gathered belongs to one bucket of hashes or
-one batch of documents, and both are bounded. Texts are shuffled only for documents that have candidates (a bitmap of
+one batch of documents; buckets grow in number with the text, but all entries of one hash meet in one. Texts are shuffled only for documents that have candidates (a bitmap of
 fixed size tells), not for the others.
 
 Defined cases: null text has no words; a null id is never smaller nor larger, so such a row is kept whole; rows with
