@@ -12,7 +12,9 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -91,9 +93,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Seconds between two collections of the driver's garbage, and when the last one was.
+SWEEP_S = 20.0
+_SWEPT = [time.monotonic()]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, every SWEEP_S seconds at most. Spark deletes shuffles, broadcasts and checkpoints
+    that nothing reads any more only then; else a long run of many steps holds them all, and the driver's heap only grows."""
+    if time.monotonic() - _SWEPT[0] >= SWEEP_S:
+        gc.collect()  # Python's handles hold the JVM's objects
+        spark.sparkContext._jvm.System.gc()
+        _SWEPT[0] = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the shared folder, with no lineage."""
     shared_dir(df.sparkSession)
+    sweep(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -111,6 +128,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sparkmere-{uuid.uuid4().hex}"
     atexit.register(_forget, spark, path)
+    sweep(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -195,20 +213,29 @@ def annotate(df: DataFrame, needs: list[str], adds: T.StructType, make: Callable
     return out.select(*[F.col(t).alias(c) for t, c in zip(kept_names, keep.columns, strict=True)], *names)
 
 
+#: Longs of a bitmap that travel as one row.
+BLOCK_WORDS = 1024
+
+
 def probable_members(rows: DataFrame, ids: DataFrame, by: list[str], most_bits: int = 27) -> tuple[DataFrame, DataFrame]:
     """(rows that may be in ids, rows that surely aren't), by a bitmap over the hash of the columns `by`.
 
-    The bitmap has some 16 bits an id, 2**22 at least and 2**most_bits at most, as one long a row: 2**(most_bits-6) rows at
-    most whatever the number of ids, so it may be broadcast. With more ids it lets more rows through, and the exact join that
-    follows still decides. `rows` is read twice.
+    The bitmap has some 16 bits an id, 2**22 at least and 2**most_bits at most, in blocks of BLOCK_WORDS longs a row, so it may
+    be broadcast: as a row for each long it took the driver several times its bytes. With more ids it lets more rows through,
+    and the exact join that follows still decides. `rows` is read twice.
     """
     bits = min(most_bits, max(22, (16 * ids.count()).bit_length()))
     place = F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.lit(1 << bits))
     bit = F.expr("shiftleft(1L, cast(__place__ & 63 as int))")
-    words = ids.select(place.alias("__place__")).groupBy(F.shiftright("__place__", 6).alias("__word__")).agg(F.bit_or(bit).alias("__bits__"))
-    words = cut(words)
-    tested = rows.withColumn("__place__", place).withColumn("__word__", F.shiftright("__place__", 6)).join(F.broadcast(words), "__word__", "left")
-    hit = F.coalesce(F.col("__bits__").bitwiseAND(bit) != 0, F.lit(False))
+    word = F.shiftright("__place__", 6)
+    words = ids.select(place.alias("__place__")).groupBy(word.alias("__word__")).agg(F.bit_or(bit).alias("__bits__"))
+    zeros = ids.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("__word__"), F.lit(0).cast("long").alias("__bits__"))
+    words = words.unionByName(zeros).groupBy("__word__").agg(F.bit_or("__bits__").alias("__bits__"))
+    each = F.sort_array(F.collect_list(F.struct("__word__", "__bits__")))
+    blocks = words.groupBy(F.floor(F.col("__word__") / BLOCK_WORDS).alias("__block__")).agg(F.transform(each, lambda w: w["__bits__"]).alias("__bits__"))
+    blocks = cut(blocks)
+    tested = rows.withColumn("__place__", place).withColumn("__block__", F.floor(word / BLOCK_WORDS)).join(F.broadcast(blocks), "__block__")
+    hit = F.get("__bits__", (word % BLOCK_WORDS).cast("int")).bitwiseAND(bit) != 0
     columns = [F.col(f"`{c}`") for c in rows.columns]
     return tested.where(hit).select(*columns), tested.where(~hit).select(*columns)
 
