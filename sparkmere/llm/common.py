@@ -14,12 +14,14 @@ import ctypes
 import functools
 import gc
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,13 +100,60 @@ SWEEP_S = 20.0
 _SWEPT = [time.monotonic()]
 
 
+def _collect(sc: SparkContext) -> None:
+    gc.collect()  # Python's handles hold the JVM's objects
+    sc._jvm.System.gc()
+    _SWEPT[0] = time.monotonic()
+
+
 def sweep(spark: SparkSession) -> None:
     """Has the driver collect its garbage, every SWEEP_S seconds at most. Spark deletes shuffles, broadcasts and checkpoints
     that nothing reads any more only then; else a long run of many steps holds them all, and the driver's heap only grows."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):  # in local mode the heap is the tasks' own
+        watch(sc)
     if time.monotonic() - _SWEPT[0] >= SWEEP_S:
-        gc.collect()  # Python's handles hold the JVM's objects
-        spark.sparkContext._jvm.System.gc()
-        _SWEPT[0] = time.monotonic()
+        _collect(sc)
+
+
+#: The share of its limit by which the driver's heap may grow before its garbage is collected, seconds between two looks at
+#: it, and seconds without a job after which nobody looks any more.
+GROWN, LOOK_S, IDLE_S = 1 / 12, 1.0, 300.0
+_WATCHES: dict[str, threading.Thread] = {}
+
+
+def watch(sc: SparkContext) -> threading.Thread:
+    """A thread that collects the driver's garbage whenever its heap has been enlarged, and every SWEEP_S seconds as long as
+    it stays larger than it was: also within one long action, and in the lazy last one that the caller runs, where no step
+    sweeps. Every job allocates several megabytes at once for each broadcast and map status, so the heap is soon enlarged to
+    its limit for little that lives; only a full collection gives it back. The thread ends with the context, or some time
+    after its last job; the next step starts another."""
+    if (old := _WATCHES.get(sc.applicationId)) is not None and old.is_alive():
+        return old
+    thread = threading.Thread(target=_look, args=(sc,), name="sparkmere-heap", daemon=True)
+    _WATCHES[sc.applicationId] = thread
+    thread.start()
+    return thread
+
+
+def _look(sc: SparkContext) -> None:
+    try:
+        heap = sc._jvm.Runtime.getRuntime()
+        most, now = GROWN * heap.maxMemory(), time.monotonic()
+        least = held = heap.totalMemory()
+        busy = asked = now
+        while now - busy < IDLE_S:
+            time.sleep(LOOK_S)
+            now = time.monotonic()
+            if now - asked >= IDLE_S / 10:
+                busy, asked = now if sc.statusTracker().getActiveJobsIds() else busy, now
+            size = heap.totalMemory()
+            if size - held > most or (size - least > most and now - _SWEPT[0] >= SWEEP_S):  # what lived then may be garbage now
+                _collect(sc)
+                held = size = heap.totalMemory()
+            least, held = min(least, size), min(held, size)
+    except Exception:  # the context has ended
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """What the driver holds."""
 
 import gc
+import time
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -53,3 +55,37 @@ def test_steps_give_the_drivers_garbage_back(spark, monkeypatch):
         assert gone.get() is None
     monkeypatch.setattr(common, "SWEEP_S", 1e9)
     assert common.cut(spark.range(3)).count() == 3
+
+
+def test_an_enlarged_heap_is_given_back_without_a_step(spark, monkeypatch):
+    for name, value in (("SWEEP_S", 0.5), ("LOOK_S", 0.05), ("GROWN", 0.02)):
+        monkeypatch.setattr(common, name, value)
+    sc = spark.sparkContext
+    heap = sc._jvm.Runtime.getRuntime()
+    sc._jvm.System.gc()
+    least, most = heap.totalMemory(), 0.02 * heap.maxMemory()
+    thread = common.watch(sc)
+    assert common.watch(sc) is thread
+    kept = []
+    while heap.totalMemory() - least < 4 * most and len(kept) < 60:
+        kept.append(sc._jvm.java.nio.ByteBuffer.allocate(32 << 20))
+    grown = heap.totalMemory()
+    assert grown - least >= 4 * most
+    kept.clear()
+    gc.collect()
+    until = time.monotonic() + 20
+    while heap.totalMemory() > grown - 2 * most and time.monotonic() < until:
+        time.sleep(0.05)
+    assert heap.totalMemory() <= grown - 2 * most
+    monkeypatch.setattr(common, "IDLE_S", 0.0)
+    thread.join(10)
+    assert not thread.is_alive() and common.watch(sc) is not thread
+
+
+def test_steps_have_the_drivers_heap_watched_on_a_cluster(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "watch", seen.append)
+    monkeypatch.setattr(common, "SWEEP_S", 1e9)
+    for master in ("local[4]", "local", "yarn", "local-cluster[3,2,3000]", "spark://host:7077"):
+        common.sweep(SimpleNamespace(sparkContext=SimpleNamespace(master=master)))
+    assert [c.master for c in seen] == ["yarn", "local-cluster[3,2,3000]", "spark://host:7077"]
